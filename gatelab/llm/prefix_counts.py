@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from gatelab.llm.runtime import arrow_map
 
 #: Unicode White_Space, fixed values: what the byte-level pre-tokenizer takes for space.
-WHITE = "\t-\r \x85\xa0  -     　"
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNIT = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 _LEAD = re.compile(f"[{WHITE}]*")
 

@@ -7,15 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelab.llm import bktree, minimax, phrase_index, prefix_counts
+from gatelab.llm import anchors, bktree, lattice, line_minhash, minimax, phrase_index, pivots, prefix_counts, quotes, resample
 from gatelab.llm.runtime import read_parquet
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(read_parquet(spark, sf_dir, "conversations"))
+
+
+def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = lattice.decode(lattice.encode(docs))
+    lossless = F.coalesce(F.col("decoded"), F.lit("")) == F.coalesce(F.col("text"), F.lit(""))
+    return pieces.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", lossless.alias("lossless"))
+
+
+def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.top_k(read_parquet(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0, k=20, scale=64)
+
+
 def op4_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = prefix_counts.prefix_table(read_parquet(spark, sf_dir, "documents"), "byte_bpe_50k.json")
     return table.select("doc_id", "n_bytes", "n_tokens", prefix_counts.over_limit(1024).alias("over_limit"))
 
 
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read_parquet(spark, sf_dir, "documents"), read_parquet(spark, sf_dir, "labels"))
+
+
+def op6_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.digest(anchors.remove_repeats(read_parquet(spark, sf_dir, "documents"), 13))
+
+
 def op7_positional_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.contamination(read_parquet(spark, sf_dir, "documents"), read_parquet(spark, sf_dir, "benchmark"))
     return phrase_index.report(found)
@@ -26,6 +49,11 @@ def op8_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_line_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_minhash.dedup_lines(read_parquet(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), "text")
+
+
 def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bktree.simhash_components(read_parquet(spark, sf_dir, "documents"))
     return found.select("doc_id", bktree.hex_fingerprint().alias("fingerprint"), "component_id")
@@ -34,11 +62,75 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_quotation_linking,
+        op2_sampled_pieces,
+        op3_pivot_top_k,
         op4_prefix_token_counts,
+        op5_importance_resampling,
+        op6_fixed_block_anchors,
         op7_positional_decontamination,
         op8_minimax_sharding,
+        op9_line_minhash,
         op10_simhash_components,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_quotation_linking": quotes.SQL,
+    "op3_pivot_top_k": """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+""",
+    "op6_fixed_block_anchors": r"""
+WITH d AS (
+  SELECT doc_id, [x for x in string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] AS w FROM documents
+), g AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS win
+  FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS i) WHERE len(w) >= 13
+), f AS (
+  SELECT win, min(doc_id) AS least FROM g GROUP BY win
+), hit AS (
+  SELECT DISTINCT g.doc_id, g.i + k AS i FROM g JOIN f USING (win), range(0, 13) t(k) WHERE f.least < g.doc_id
+), gone AS (
+  SELECT doc_id, list(i) AS gone FROM hit GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w
+         ELSE [w[i] for i in range(1, len(w) + 1) if NOT list_contains(gone, i)] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+""",
+    "op7_positional_decontamination": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, least(13, len(w)) AS n, array_to_string(w[i : i + least(13, len(w)) - 1], ' ') AS win
+  FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(13, len(w)) + 2)) AS i) WHERE len(w) > 0
+), lens AS (SELECT DISTINCT n FROM bw), g AS (
+  SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS win
+  FROM d, lens, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i) WHERE len(w) >= n
+), m AS (
+  SELECT doc_id, i, g.n, item FROM g JOIN bw ON bw.n = g.n AND bw.win = g.win
+), h AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n_hit FROM m, LATERAL (SELECT unnest(range(0, n)) AS k) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+}
