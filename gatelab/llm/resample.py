@@ -146,23 +146,28 @@ def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return arrow_map(base, run, f"{fields}, __log_weight double, __gumbel_key double")
 
 
-def sample(weighed: DataFrame, k: int | None = None, tolerance: float = 4.0) -> DataFrame:
-    """weighed with __keep: whether a row is among the k largest Gumbel keys."""
+def least_key(weights: DataFrame, k: int | None = None, tolerance: float = 4.0) -> float | None:
+    """The smallest Gumbel key of the sample of k rows."""
     if k is None:
-        k = weighed.where(F.col("__log_weight") > -tolerance).count()
-    least = kth_largest(weighed, "__gumbel_key", k)
-    keep = F.lit(False) if least is None else F.col("__gumbel_key") >= F.lit(least)
-    return weighed.withColumn("__keep", keep)
+        k = weights.where(F.col("__log_weight") > -tolerance).count()
+    return kth_largest(weights, "__gumbel_key", k)
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def _in_sample(least: float | None):
+    return F.lit(False) if least is None else F.col("__gumbel_key") >= F.lit(least)
+
+
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, tolerance: float = 4.0, **how) -> DataFrame:
     """doc_id, log_weight, gumbel_key, keep for every row of docs."""
-    rows = weigh(docs.select(id_col, "text"), labels, id_col, **how)
+    rows = weigh(docs.select(id_col, text_col), labels, id_col, text_col, **how)
     rows = write_scratch(rows.select(F.col(id_col).alias("doc_id"), "__log_weight", "__gumbel_key"), "weights")
-    return sample(rows).select("doc_id", F.col("__log_weight").alias("log_weight"), F.col("__gumbel_key").alias("gumbel_key"), F.col("__keep").alias("keep"))
+    keep = _in_sample(least_key(rows, k, tolerance))
+    return rows.select("doc_id", F.col("__log_weight").alias("log_weight"), F.col("__gumbel_key").alias("gumbel_key"), keep.alias("keep"))
 
 
-def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without the rows that the sample rejects."""
-    rows = sample(write_scratch(weigh(docs, labels, id_col, **how), "weighed"))
-    return rows.where("__keep").select(*docs.columns)
+def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, tolerance: float = 4.0, **how) -> DataFrame:
+    """docs without the rows that the sample rejects.  Weights are written once without the texts to find the last key
+    of the sample, and computed again where the texts are."""
+    weighed = weigh(docs, labels, id_col, text_col, **how)
+    weights = write_scratch(weighed.select("__log_weight", "__gumbel_key"), "weights")
+    return weighed.where(_in_sample(least_key(weights, k, tolerance))).select(*docs.columns)
