@@ -289,7 +289,7 @@ def _cut(c: Chunk, gone: np.ndarray) -> pa.RecordBatch:
         a, b = np.flatnonzero(np.diff(edge) == 1), np.flatnonzero(np.diff(edge) == -1)
         # a run that crosses into the next document is two runs
         inner = c.first[1:-1]
-        inner = inner[(inner > 0) & (inner < len(gone))]
+        inner = np.unique(inner[(inner > 0) & (inner < len(gone))])
         inner = inner[gone[inner] & gone[inner - 1]]
         a, b = np.sort(np.concatenate([a, inner])), np.sort(np.concatenate([b, inner]))
         doc = np.searchsorted(c.first, a, "right") - 1
