@@ -9,9 +9,9 @@ segmentation in proportion to its weight.  The random numbers are hashes of the
 key, the place in the row and the step, so a row's pieces are the same on any
 cluster and after any retry.
 
-No piece holds a space after another character, nor joins word characters to the
-marks in _MARKS (checked when the model is read), so a text falls apart into units
-whose lattices are independent.  Forward sums of a unit are computed once and kept
+No piece holds a space after another character, and none has certain marks right
+after a character of another kind (found when the model is read), so a text falls
+apart before them into units whose lattices are independent.  Forward sums of a unit are computed once and kept
 while it is in use; all units of a batch of texts are sampled together, one numpy
 step per piece.
 
@@ -40,6 +40,14 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 30
 
 
+def _roll(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return (h + code.astype(np.uint64) + np.uint64(1)) * _GOLD
+
+
+def _low(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(48)).astype(np.int64)
+
+
 class Lattice:
     def __init__(self, model: str, inverse_temperature: float, keep_nodes: int = 1_500_000):
         import sentencepiece
@@ -60,11 +68,31 @@ class Lattice:
             raise ValueError("the model has no byte pieces: decoding wouldn't be lossless")
         if "\0" in "".join(self.score) or any("▁" in p[1:] and p.strip("▁") for p in self.score):
             raise ValueError("a piece holds NUL, or a space after another character")
-        marks = {m for m in _MARKS if not any(m in p and set(p) - set(_MARKS) - {"▁"} for p in self.score)}
-        marks = re.escape("".join(sorted(marks)))
-        self.unit = re.compile(f" *[^ \n{marks}]+| *[{marks}]+|\n| +" if marks else " *[^ \n]+|\n| +")
-        self.longest = max(map(len, self.score))
+        # marks that no piece has right after another kind of character: a text may be cut before them
+        cut = {m for m in _MARKS if not any(x not in _MARKS and x != "▁" and y == m for p in self.score for x, y in zip(p, p[1:]))}
+        marks = re.escape("".join(sorted(cut)))
+        self.unit = re.compile(f" *[^ \n{marks}]+| *[{marks}]+[^ \n{marks}]*|\n| +" if marks else " *[^ \n]+|\n| +")
         self.keep_nodes = keep_nodes
+        # by length: pieces as sorted hashes with their codes, ids and weights, and which hashes begin a longer piece
+        by_size: dict[int, list[str]] = {}
+        for p in self.score:
+            by_size.setdefault(len(p), []).append(p)
+        self.longest = max(by_size)
+        begins = [np.zeros(1 << 16, bool) for _ in range(self.longest + 2)]
+        self.table = {}
+        for n, pieces in by_size.items():
+            codes = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32).reshape(-1, n)
+            h = np.zeros(len(pieces), np.uint64)
+            for k in range(n):
+                h = _roll(h, codes[:, k])
+                if k + 1 < n:
+                    begins[k + 1][_low(h)] = True
+            order = np.argsort(h)
+            ids, weights = zip(*(self.score[p] for p in pieces))
+            seen = np.zeros(1 << 16, bool)
+            seen[_low(h)] = True
+            self.table[n] = (h[order], codes[order], np.array(ids, np.int32)[order], np.array(weights)[order], seen)
+        self.begins = begins
         self.clear()
 
     def clear(self) -> None:
@@ -76,38 +104,53 @@ class Lattice:
         self.piece = np.zeros(0, np.int32)
         self.nodes = 0
 
+    def matches(self, codes: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces in a run of characters: start, length, id and weight.  room: characters left in each one's unit."""
+        found = []
+        live, h = np.arange(len(codes)), np.zeros(len(codes), np.uint64)
+        for n in range(1, self.longest + 1):
+            ok = room[live] >= n
+            live, h = live[ok], h[ok]
+            h = _roll(h, codes[live + n - 1])
+            low = _low(h)
+            if n in self.table:
+                hashes, spelled, ids, weights, seen = self.table[n]
+                k = np.flatnonzero(seen[low])
+                at = np.minimum(np.searchsorted(hashes, h[k]), len(hashes) - 1)
+                ok = (spelled[at] == codes[live[k][:, None] + np.arange(n)]).all(1)
+                at, start = at[ok], live[k[ok]]
+                found.append((start, np.full(len(start), n), ids[at], weights[at]))
+            ok = self.begins[n][low]
+            live, h = live[ok], h[ok]
+            if not len(live):
+                break
+        return tuple(np.concatenate(x) for x in zip(*found))
+
     def add(self, units: list[str]) -> None:
-        """Forward filtering of new units, all together."""
-        to, source, piece, weight = [], [], [], []
-        first, last, base, longest, get = [], [], self.nodes, self.longest, self.score.get
-        for u in units:
-            s = u.replace("▁", "\0").replace(" ", "▁")
-            at = [base]
-            first.append(base)
-            for i in range(1, len(s) + 1):
-                c = s[i - 1]
-                if c not in self.score:
-                    chain = [self.byte_id[b] for b in u[i - 1].encode()]
-                    for k, b in enumerate(chain):
-                        to.append(at[-1] + k + 1)
-                        source.append(at[-1] + k)
-                        piece.append(b)
-                        weight.append(0.0)
-                    at.append(at[-1] + len(chain))
-                else:
-                    at.append(at[-1] + 1)
-                for j in range(i - longest if i > longest else 0, i):
-                    p = get(s[j:i])
-                    if p is not None:
-                        to.append(at[i])
-                        source.append(at[j])
-                        piece.append(p[0])
-                        weight.append(p[1])
-            last.append(at[-1])
-            base = at[-1] + 1
-        to, source, weight = np.array(to, np.int64), np.array(source, np.int64), np.array(weight)
+        """Forward filtering of new units, all together.  Node numbers: one for each place between characters of a unit,
+        and one for each between the bytes of a character that is no piece."""
+        text = "".join(units)
+        codes = np.frombuffer(text.replace("▁", "\0").replace(" ", "▁").encode("utf-32-le"), np.uint32)
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        end = np.cumsum(size)
+        unit = np.repeat(np.arange(len(units)), size)
+        start, length, piece, weight = self.matches(codes, end[unit] - np.arange(len(codes)))
+        known = np.zeros(len(codes), bool)
+        known[start[length == 1]] = True
+        chains = [(i, text[i].encode()) for i in np.flatnonzero(~known).tolist()]
+        extra = np.zeros(len(codes) + 1, np.int64)
+        for i, c in chains:
+            extra[i + 1] = len(c) - 1
+        place = np.arange(len(codes) + 1) + np.cumsum(extra) + self.nodes  # but for one more per unit before
+        first = place[end - size] + np.arange(len(units))
+        last = place[end] + np.arange(len(units))
+        source = [place[start] + unit[start]] + [place[i] + unit[i] + np.arange(len(c)) for i, c in chains]
+        to = np.concatenate([place[start + length] + unit[start]] + [x + 1 for x in source[1:]])
+        source = np.concatenate(source)
+        piece = np.concatenate([piece] + [np.array([self.byte_id[x] for x in c], np.int32) for _, c in chains])
+        weight = np.concatenate([weight, np.zeros(len(to) - len(weight))])
+        base = int(last[-1]) + 1
         n = base - self.nodes
-        first = np.array(first, np.int64)
         start = first[np.searchsorted(first, to, "right") - 1]
         order = np.lexsort((source, to))
         to, source, weight, start = to[order], source[order], weight[order], start[order]
@@ -125,15 +168,16 @@ class Lattice:
             alpha[to[e][heads] - self.nodes] = total
             value[e] = np.exp(v - np.repeat(total, np.diff(np.append(heads, len(e)))))
         heads = np.flatnonzero(np.diff(to, prepend=-1))
+        # whole numbers, so that a node's shares don't depend on what else is summed here
+        value = np.rint(value * (1 << _BITS)).astype(np.int64)
         sums = np.cumsum(value)
         size = np.diff(np.append(heads, len(to)))
-        share = sums - np.repeat(sums[heads] - value[heads], size)
-        share = np.minimum(np.rint(share * (1 << _BITS)).astype(np.int64), 1 << _BITS)
+        share = np.minimum(sums - np.repeat(sums[heads] - value[heads], size), 1 << _BITS)
         share[np.append(heads[1:], len(to))[: len(heads)] - 1] = 1 << _BITS
         self.number.update(zip(units, range(len(self.first), len(self.first) + len(units))))
-        self.first, self.last = np.concatenate([self.first, first]), np.concatenate([self.last, np.array(last, np.int64)])
+        self.first, self.last = np.concatenate([self.first, first]), np.concatenate([self.last, last])
         self.share = np.concatenate([self.share, (to << _BITS) + share])
-        self.source, self.piece = np.concatenate([self.source, source]), np.concatenate([self.piece, np.array(piece, np.int32)[order]])
+        self.source, self.piece = np.concatenate([self.source, source]), np.concatenate([self.piece, piece[order]])
         self.nodes = base
 
     def encode(self, texts: list[str], keys: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:

@@ -13,10 +13,8 @@ GATES = range(1, 7)
 
 
 def read_whole(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", glob is not None)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.text(paths).select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), "value")
+    reader = spark.read.text(paths, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=glob is not None)
+    return reader.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), "value")
 
 
 def lines_of(files: DataFrame) -> DataFrame:
