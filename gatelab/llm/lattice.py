@@ -10,8 +10,8 @@ key, the place in the row and the step, so a row's pieces are the same on any
 cluster and after any retry.
 
 No piece holds a space after another character, and none has certain marks right
-after a character of another kind (found when the model is read), so a text falls
-apart before them into units whose lattices are independent.  Forward sums of a unit are computed once and kept
+after a word character (found when the model is read), so a text falls apart there
+into units whose lattices are independent.  Forward sums of a unit are computed once and kept
 while it is in use; all units of a batch of texts are sampled together, one numpy
 step per piece.
 
@@ -49,7 +49,7 @@ def _low(h: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    def __init__(self, model: str, inverse_temperature: float, keep_nodes: int = 1_500_000):
+    def __init__(self, model: str, inverse_temperature: float, keep_nodes: int = 800_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -68,10 +68,11 @@ class Lattice:
             raise ValueError("the model has no byte pieces: decoding wouldn't be lossless")
         if "\0" in "".join(self.score) or any("▁" in p[1:] and p.strip("▁") for p in self.score):
             raise ValueError("a piece holds NUL, or a space after another character")
-        # marks that no piece has right after another kind of character: a text may be cut before them
-        cut = {m for m in _MARKS if not any(x not in _MARKS and x != "▁" and y == m for p in self.score for x, y in zip(p, p[1:]))}
+        # marks that no piece has right after a word character: a text may be cut before them there
+        word = re.compile(r"\w")
+        cut = {m for m in _MARKS if not any(y == m and word.match(x) for p in self.score for x, y in zip(p, p[1:]))}
         marks = re.escape("".join(sorted(cut)))
-        self.unit = re.compile(f" *[^ \n{marks}]+| *[{marks}]+[^ \n{marks}]*|\n| +" if marks else " *[^ \n]+|\n| +")
+        self.unit = re.compile(rf" *[^ \n](?:[^ \n{marks}]+|(?<!\w)[{marks}])*|\n| +" if marks else r" *[^ \n]+|\n| +")
         self.keep_nodes = keep_nodes
         # by length: pieces as sorted hashes with their codes, ids and weights, and which hashes begin a longer piece
         by_size: dict[int, list[str]] = {}
@@ -236,22 +237,29 @@ def _slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int,
         yield a, len(texts)
 
 
-def encode(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", out_col: str = "pieces", model: str = "piece_bpe_32k.model", inverse_temperature: float = 0.001, seed: int = 1) -> DataFrame:
-    """df with a column of sampled piece ids."""
+def encode(
+    df: DataFrame, key_col: str = "doc_id", text_col: str = "text", out_col: str = "pieces", model: str = "piece_bpe_32k.model", inverse_temperature: float = 0.001, seed: int = 1, check_col: str | None = None
+) -> DataFrame:
+    """df with a column of sampled piece ids; with check_col also one that tells whether they decode to the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(_path(model), inverse_temperature)
         for batch in batches:
-            keys, texts = long_column(batch, "__key"), batch.column("__text").to_pylist()
-            batch = batch.drop_columns(["__key", "__text"])
-            for a, b in _slices(texts):
-                ids, offsets = lattice.encode([t or "" for t in texts[a:b]], keys[a:b], seed)
-                gone = pa.array([t is None for t in texts[a:b]])
-                out = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids), mask=gone)
-                yield batch.slice(a, b - a).append_column(out_col, out)
+            keys, rest = long_column(batch, "__key"), batch.drop_columns(["__key", "__text"])
+            for a in range(0, batch.num_rows, 256):
+                texts = batch.column("__text").slice(a, 256).to_pylist()
+                for x, y in _slices(texts):
+                    part = texts[x:y]
+                    ids, offsets = lattice.encode([t or "" for t in part], keys[a + x : a + y], seed)
+                    gone = pa.array([t is None for t in part])
+                    out = rest.slice(a + x, y - x).append_column(out_col, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids), mask=gone))
+                    if check_col:
+                        same = [lattice.decode(ids[i:j].tolist()) == (t or "") for t, i, j in zip(part, offsets, offsets[1:])]
+                        out = out.append_column(check_col, pa.array(same))
+                    yield out
 
     base = df.withColumn("__key", F.col(key_col).cast("long")).withColumn("__text", F.col(text_col))
-    return arrow_map(base, run, f"{_fields(df)}`{out_col}` array<int>")
+    return arrow_map(base, run, f"{_fields(df)}`{out_col}` array<int>" + f", `{check_col}` boolean" * bool(check_col))
 
 
 def decode(df: DataFrame, pieces_col: str = "pieces", out_col: str = "decoded", model: str = "piece_bpe_32k.model") -> DataFrame:

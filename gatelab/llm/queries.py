@@ -17,9 +17,8 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_parquet(spark, sf_dir, "documents").select("doc_id", "text")
-    pieces = lattice.decode(lattice.encode(docs))
-    lossless = F.coalesce(F.col("decoded"), F.lit("")) == F.coalesce(F.col("text"), F.lit(""))
-    return pieces.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", lossless.alias("lossless"))
+    pieces = lattice.encode(docs, check_col="lossless")
+    return pieces.select("doc_id", F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"), "pieces", "lossless")
 
 
 def op3_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
