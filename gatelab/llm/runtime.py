@@ -51,7 +51,7 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     the finished job are released at once."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # its buffers are on the heap, snappy's pile up beside it
     out = spark.read.schema(df.schema).parquet(path)
     out._gatelab_path = path
     release(spark)
