@@ -49,7 +49,7 @@ def _low(h: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    def __init__(self, model: str, inverse_temperature: float, keep_nodes: int = 800_000):
+    def __init__(self, model: str, inverse_temperature: float, keep_nodes: int = 1_600_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -152,14 +152,14 @@ class Lattice:
         weight = np.concatenate([weight, np.zeros(len(to) - len(weight))])
         base = int(last[-1]) + 1
         n = base - self.nodes
-        start = first[np.searchsorted(first, to, "right") - 1]
-        order = np.lexsort((source, to))
-        to, source, weight, start = to[order], source[order], weight[order], start[order]
-        depth = to - start
+        depth = to - np.concatenate([first[unit[start]]] + [np.full(len(c), first[unit[i]]) for i, c in chains])
+        # the pieces of one length are in order already, so this merges a few runs
+        order = np.argsort(to, kind="stable")
+        to, source, weight, depth = to[order], source[order], weight[order], depth[order]
         alpha = np.zeros(n)
         value = np.zeros(len(to))
         # nodes at equal distance from their unit's start are summed at once
-        by_depth = np.argsort(depth, kind="stable")
+        by_depth = np.argsort(depth.astype(np.uint16) if depth.max() < 1 << 16 else depth, kind="stable")
         bounds = np.flatnonzero(np.diff(depth[by_depth], prepend=-1))
         for a, b in zip(bounds, [*bounds[1:], len(by_depth)]):
             e = by_depth[a:b]
