@@ -274,6 +274,7 @@ def report(found: DataFrame, share: int = 20) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents whose text is contaminated."""
-    bad = report(contamination(docs, items, id_col=id_col, text_col=text_col)).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long") == F.col("__bad"), "left_anti")
+    """docs without the rows whose text is contaminated.  Rows are judged one by one, whatever their ids (null or repeated)."""
+    rows = write_scratch(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    bad = report(contamination(rows, items, id_col="__row", text_col=text_col)).where("contaminated").select(F.col("doc_id").alias("__row"))
+    return rows.join(bad, "__row", "left_anti").select(*docs.columns)

@@ -79,3 +79,11 @@ def test_proximity(tables):
                 if s is not None and w[e] in need:
                     want.add((i, item, s, e))
     assert {tuple(r) for r in found} == want
+
+
+def test_drop_judges_rows_not_ids(spark, tables):
+    _, items, _, b = tables
+    bad, clean = items[2][1], "nothing of the kind"
+    rows = [(None, bad), (None, clean), (1, bad), (1, clean), (1, clean), (2, None)]
+    kept = phrase_index.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()
+    assert sorted((tuple(r) for r in kept), key=str) == sorted([(None, clean), (1, clean), (1, clean), (2, None)], key=str)
