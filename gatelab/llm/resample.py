@@ -2,10 +2,10 @@
 
 Two generative models over hashed word n-grams (orders 1 and 2, a table of buckets
 for each; an n-gram counts once per document): the target model counts labelled good
-documents, the raw model counts the whole corpus.  A bucket keeps its log ratio only
-where the target count departs from the expected one by `significance` standard
-deviations of a Poisson count, otherwise the ratio is sampling noise and is set to
-zero; `prior` pseudo-counts draw the ratios towards no difference.  A document's log
+documents, the raw model counts the whole corpus.  A bucket's log ratio shrinks smoothly
+with the evidence for it: by 1 - `significance`**2 / deviance, where the deviance is that
+of a Poisson count from the expected one, and to zero below; several n-grams of some
+evidence add up.  `prior` pseudo-counts draw the ratios towards no difference.  A document's log
 weight is the sum of the log ratios of its n-grams, so text like the target is near
 zero, and text with several n-grams that the target lacks is far below.
 
@@ -17,8 +17,9 @@ text that fits the target and rejects what is well below it.
 
 The target model is fitted on at most `max_labelled` good documents, the ones of
 smallest hash of their id (about 8 MB of ids); the raw model, the weights and the
-sample cover all documents.  The models are 2**20 + 2**18 buckets, whatever the
-input.
+sample cover all documents.  The models are 2**20 buckets for words and for pairs as
+many as the texts may hold pairs, 2**18 at least and 2**21 at most (what a worker and
+the driver can hold).
 
 A document is good when its least quality label is 1 and its largest toxic label
 is 0; null labels count as bad.  Null or empty text has log weight 0.  Rows of equal id draw
@@ -39,21 +40,31 @@ from pyspark.sql import functions as F
 from gatelab.llm.runtime import LOWER, SPACED, arrow_map, long_column, mix, slices, utf8, word_bounds, word_hashes, write_scratch
 
 BITS = (20, 18)
-BUCKETS = sum(1 << b for b in BITS)
-SLICE = 4 << 20
+MOST_BITS = 21
+SLICE = 1 << 20
 
 
-def buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def table_bits(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """Bits of the two tables: one bucket for every six bytes of text (a word and a space) within the limits."""
+    n_bytes = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return BITS[0], min(max((n_bytes // 6).bit_length(), BITS[1]), MOST_BITS)
+
+
+def n_buckets(bits: tuple[int, int]) -> int:
+    return sum(1 << b for b in bits)
+
+
+def buckets(data: np.ndarray, offsets: np.ndarray, bits: tuple[int, int] = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and document of every distinct n-gram of a document."""
     starts, ends, first = word_bounds(data, offsets, SPACED)
     h = word_hashes(LOWER[data], starts, ends)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     two = mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
     same = doc[1:] == doc[:-1]
-    one = (h >> np.uint64(64 - BITS[0])).astype(np.int64)
-    pair = (two[same] >> np.uint64(64 - BITS[1])).astype(np.int64) + (1 << BITS[0])
-    found = np.unique(np.concatenate([doc, doc[1:][same]]) * BUCKETS + np.concatenate([one, pair]))
-    return found % BUCKETS, found // BUCKETS
+    one = (h >> np.uint64(64 - bits[0])).astype(np.int64)
+    pair = (two[same] >> np.uint64(64 - bits[1])).astype(np.int64) + (1 << bits[0])
+    found = np.unique(np.concatenate([doc, doc[1:][same]]) * n_buckets(bits) + np.concatenate([one, pair]))
+    return found % n_buckets(bits), found // n_buckets(bits)
 
 
 def good_ids(labels: DataFrame, max_labelled: int) -> np.ndarray:
@@ -64,41 +75,42 @@ def good_ids(labels: DataFrame, max_labelled: int) -> np.ndarray:
     return np.sort(np.array([r.i for r in rows], np.int64))
 
 
-def count_ngrams(docs: DataFrame, good: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def count_ngrams(docs: DataFrame, good: np.ndarray, bits: tuple[int, int] = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all buckets over all documents, and over the good ones."""
     wanted = docs.sparkSession.sparkContext.broadcast(good)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(n_buckets(bits), np.int32), np.zeros(n_buckets(bits), np.int32)
         for batch in batches:
             is_good = np.isin(long_column(batch, "id"), wanted.value)
             data, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, SLICE):
-                k, doc = buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                raw += np.bincount(k, minlength=BUCKETS)
-                target += np.bincount(k[is_good[a:b][doc]], minlength=BUCKETS)
+                k, doc = buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
+                np.add.at(raw, k, 1)
+                np.add.at(target, k[is_good[a:b][doc]], 1)
         k = np.flatnonzero(raw)
         for a in range(0, len(k), 1 << 16):
             p = k[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(raw[p]), pa.array(target[p])], names=["bucket", "raw", "target"])
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(raw[p].astype(np.int64)), pa.array(target[p].astype(np.int64))], names=["bucket", "raw", "target"])
 
     parts = arrow_map(docs.select(F.col("__id").alias("id"), F.col("__text").alias("text")), run, "bucket int, raw long, target long")
     t = parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    raw, target = np.zeros(n_buckets(bits)), np.zeros(n_buckets(bits))
     k = t.column("bucket").to_numpy()
     raw[k], target[k] = t.column("raw").to_numpy(), t.column("target").to_numpy()
     return raw, target
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float, significance: float) -> np.ndarray:
-    out, at = np.zeros(BUCKETS, np.float32), 0
-    for b in BITS:
+def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float, significance: float, bits: tuple[int, int] = BITS) -> np.ndarray:
+    out, at = np.zeros(n_buckets(bits), np.float32), 0
+    for b in bits:
         part = slice(at, at := at + (1 << b))
         n_raw, n_target = raw[part].sum(), target[part].sum()
         if n_raw and n_target:
             expected = raw[part] * (n_target / n_raw)
-            sure = np.abs(target[part] - expected) >= significance * np.sqrt(expected + 0.5)
-            out[part] = np.where(sure, np.log((target[part] + prior) / (expected + prior)), 0)
+            seen = np.where(target[part] > 0, target[part] * np.log(np.maximum(target[part], 1) / np.maximum(expected, 1e-9)), 0)
+            deviance = np.maximum(2 * (seen - target[part] + expected), 1e-9)
+            out[part] = np.log((target[part] + prior) / (expected + prior)) * np.maximum(0, 1 - significance**2 / deviance)
     return out
 
 
@@ -123,19 +135,20 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return low
 
 
-def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 1.0, significance: float = 5.0, max_labelled: int = 1_000_000, seed: int = 7) -> DataFrame:
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 1.0, significance: float = 2.5, max_labelled: int = 1_000_000, seed: int = 7) -> DataFrame:
     """docs with __log_weight and __gumbel_key."""
     spark = docs.sparkSession
     base = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.col(text_col))
-    raw, target = count_ngrams(base, good_ids(labels, max_labelled))
-    model = spark.sparkContext.broadcast(log_ratios(raw, target, prior, significance))
+    bits = table_bits(base, "__text")
+    raw, target = count_ngrams(base, good_ids(labels, max_labelled), bits)
+    model = spark.sparkContext.broadcast(log_ratios(raw, target, prior, significance, bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("__text"))
             weight = np.zeros(batch.num_rows)
             for a, b in slices(offsets, SLICE):
-                k, doc = buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                k, doc = buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
                 weight[a:b] = np.bincount(doc, model.value[k], minlength=b - a)
             u = mix(mix(long_column(batch, "__id").view(np.uint64)) + np.uint64(seed))
             u = ((u >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53

@@ -143,3 +143,24 @@ def test_cold_and_warm_lattices_agree():
     two = [small.encode([t], keys[i : i + 1], 1)[0].tolist() for i, t in reversed(list(enumerate(texts)))][::-1]
     ids, off = warm.encode(texts, keys, 1)
     assert one == two == [ids[a:b].tolist() for a, b in zip(off, off[1:])]
+
+
+@pytest.mark.parametrize("n", [200, 1000, 10000])
+def test_rejection_at_any_size(spark, n):
+    """Toxic documents go at 1000 and at 10000 documents, clean ones stay at any size."""
+    rng = random.Random(n)
+    common, rude = [f"w{k}" for k in range(400)], [f"rude{k}" for k in range(10)]
+    docs, labels = [], []
+    for i in range(n):
+        w = rng.choices(common, k=60)
+        if i % 15 == 1:
+            w[:12] = rng.choices(rude, k=12)
+        docs.append((i, " ".join(w)))
+        if i % 5 < 2:
+            labels.append((i, 1, int(i % 15 == 1)))
+    rows = resample.resample(spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    bad = [r.log_weight <= -4 for r in rows if r.doc_id % 15 == 1]
+    clean = [r.log_weight > -4 for r in rows if r.doc_id % 15 != 1]
+    assert sum(clean) >= 0.97 * len(clean)
+    if n >= 1000:  # with 200 documents and 80 labels, a word in nine documents isn't told from chance
+        assert sum(bad) >= 0.95 * len(bad)
