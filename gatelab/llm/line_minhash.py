@@ -102,12 +102,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     size = lambda name, m: texts.select(F.col("id").alias(name), F.col("m").alias(m))
     pairs = pairs.join(size("a", "ma"), "a").join(size("b", "mb"), "b").where(F.least("ma", "mb") >= threshold * F.greatest("ma", "mb")).select("a", "b")
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    # a cheap look next: lines of ten words or more whose words agree by less than three in ten aren't similar, as a
-    # word that differs takes five shingles at least with it
-    x, y = F.split("x", " "), F.split("y", " ")
-    both = both.withColumn("wx", x).withColumn("wy", y)
-    few = F.least(F.size("wx"), F.size("wy")) < 10
-    both = both.where(few | (F.size(F.array_intersect("wx", "wy")) >= 0.3 * F.size(F.array_union("wx", "wy"))))
     sets = both.select("a", "b", _shingles(F.col("x"), SHINGLE).alias("x"), _shingles(F.col("y"), SHINGLE).alias("y"))
     alike = F.size(F.array_intersect("x", "y")) >= F.lit(threshold) * F.size(F.array_union("x", "y"))
     return sets.where(alike).select("a", "b").distinct()

@@ -94,3 +94,14 @@ def test_broadcast_and_shuffle_agree(spark, docs, monkeypatch):
 
 def test_empty(spark):
     assert line_minhash.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_words_are_verified_exactly(spark):
+    rng = random.Random(4)
+    w = ["".join(rng.choices("abcdefghijklmnop0123456789", k=60)) for _ in range(12)]
+    v = [x[:30] + "_" + x[31:] if k < 7 else x for k, x in enumerate(w)]
+    a, b = shingles(" ".join(w)), shingles(" ".join(v))
+    assert len(a & b) / len(a | b) > 0.85 and len(set(w) & set(v)) / len(set(w) | set(v)) < 0.3
+    texts = spark.createDataFrame([(1, " ".join(w), len(a)), (2, " ".join(v), len(b))], "id long, norm string, m int")
+    pair = spark.createDataFrame([(1, 2)], "a long, b long")
+    assert line_minhash._verified(pair, texts, 0.8).count() == 1
