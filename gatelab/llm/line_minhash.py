@@ -4,13 +4,10 @@ Lines are compared in lower case and trimmed.  Lines that are then equal are one
 distinct line, known by 128 bits of hashes and by its first place (smallest document
 id, then line number).
 
-Signatures are bottom-k MinHash sketches of character shingles, the k least hashes:
-for lines of up to 200 characters of all shingles of 8 characters, for lines of over
-160 characters of those of 12 characters that begin a word (of all of them where
-words are rare).  Lines similar to the threshold or more are within a factor of 1.25
-in length, so both have a sketch of one kind.  Every three entries of a sketch are a
-band, so two lines meet when they share any three of their five least shingles: 98 of
-100 do at a shingle similarity of 0.8, over 99 at 0.85.
+Signatures are bottom-k MinHash sketches, the k least hashes of all shingles of 5
+characters, the shingles that are compared, for lines of any length.  Every three
+entries of a sketch are a band, so two lines meet when they share any three of their
+five least shingles.
 
 Candidates are verified exactly: Jaccard similarity of the sets of all 5-character
 shingles.  In a band each line is first verified against the band's most frequent
@@ -55,17 +52,12 @@ def _shingles(norm: Column, n: int) -> Column:
 
 def _signed(lines: DataFrame) -> DataFrame:
     """lines with bands: hashes of every three entries of the sketches (of fewer where a sketch is smaller)."""
-    n = F.length("norm")
-    words = F.regexp_extract_all(F.concat(F.lit(" "), "norm"), F.lit("(?s)(?= (.{1,12}))"), 1)
-    lines = lines.withColumn("s", F.when(n <= 200, _shingles(F.col("norm"), 8))).withColumn("w", F.when(n > 160, words))
-    lines = lines.withColumn("w", F.when(F.size("w") * 24 < n, _shingles(F.col("norm"), 12)).otherwise(F.col("w")))
-    for kind in "sw":
-        lines = lines.withColumn(kind, F.slice(F.sort_array(F.array_distinct(F.transform(kind, lambda x: F.xxhash64(x)))), 1, SKETCH))
+    least = F.slice(F.sort_array(F.array_distinct(F.transform(_shingles(F.col("norm"), SHINGLE), lambda x: F.xxhash64(x)))), 1, SKETCH)
+    lines = lines.withColumn("least", least)
     bands = []
-    for kind in "sw":
-        for i, j, k in combinations(range(SKETCH), 3):
-            x, y, z = (F.get(kind, F.lit(e)) for e in (i, j, k))
-            bands.append(F.when(x.isNotNull(), F.xxhash64(F.lit(kind), x, y, z)))
+    for i, j, k in combinations(range(SKETCH), 3):
+        x, y, z = (F.get("least", F.lit(e)) for e in (i, j, k))
+        bands.append(F.when(x.isNotNull(), F.xxhash64(x, y, z)))
     return lines.select("doc", "pos", "k1", "k2", F.array_distinct(F.array_compact(F.array(*bands))).alias("bands"))
 
 

@@ -105,3 +105,30 @@ def test_long_words_are_verified_exactly(spark):
     texts = spark.createDataFrame([(1, " ".join(w), len(a)), (2, " ".join(v), len(b))], "id long, norm string, m int")
     pair = spark.createDataFrame([(1, 2)], "a long, b long")
     assert line_minhash._verified(pair, texts, 0.8).count() == 1
+
+
+@pytest.mark.parametrize("n", [10, 100])
+def test_recall_at_the_threshold(spark, n):
+    rng = random.Random(n)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(3000)]
+    pairs = []
+    while len(pairs) < 200:
+        x = " ".join(rng.choices(words, k=n))
+        y = list(x)
+        while len(shingles(x) & shingles("".join(y))) >= 0.85 * len(shingles(x) | shingles("".join(y))):
+            for _ in range(1 + n // 25):
+                y[rng.randrange(len(y))] = rng.choice("qrstuvw")
+        if len(shingles(x) & shingles("".join(y))) >= 0.8 * len(shingles(x) | shingles("".join(y))):
+            pairs.append((x, "".join(y)))
+    rows = [(2 * k + j, t) for k, p in enumerate(pairs) for j, t in enumerate(p)]
+    signed = line_minhash._signed(line_minhash._lines(spark.createDataFrame(rows, "__doc long, __text string"))).select("doc", "bands").collect()
+    bands = {r.doc: set(r.bands) for r in signed}
+    assert sum(bool(bands[2 * k] & bands[2 * k + 1]) for k in range(200)) >= 194
+
+
+def test_repetitive_lines_of_unlike_length_meet(spark):
+    phrase = "the same thirty-odd characters now "
+    a, b = (phrase * 4).strip(), (phrase * 9).strip()
+    assert len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b))
+    rows = [(r.doc_id, r.text) for r in line_minhash.dedup_lines(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")).collect()]
+    assert sorted(rows) == [(1, a), (2, "")]
