@@ -10,7 +10,7 @@ entries of a sketch are a band, so two lines meet when they share any three of t
 five least shingles.
 
 Candidates are verified exactly: Jaccard similarity of the sets of all 5-character
-shingles.  In a band each line is first verified against the band's most frequent
+shingles, by 64-bit hashes made once for each line.  In a band each line is first verified against the band's most frequent
 line; after union-find over the links, lines of other components than that one's are
 verified against the lines of all components but their own.  So every pair of a band
 is either compared or already connected, and no band emits all its pairs.
@@ -78,12 +78,13 @@ def _members(distinct: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, norm and m (how many shingles its set has) of the given distinct lines, read again at their first places."""
+    """id, h (64-bit hashes of its set of shingles) and m (how many) of the given distinct lines, read again at their first places."""
     places = write_scratch(distinct.join(ids, "id", "left_semi").select("id", F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"), "k1", "k2"), "places")
     few = places.count() <= BROADCAST_LINES
     # the first place may stand in several rows of one id: the hashes tell them apart, and one of equal rows is enough
     found = _lines(docs).join(F.broadcast(places) if few else places, ["doc", "pos", "k1", "k2"]).select("id", "norm")
-    out = write_scratch(found.withColumn("m", F.size(F.array_distinct(_shingles(F.col("norm"), SHINGLE)))), "line-texts")
+    hashes = F.array_distinct(F.transform(_shingles(F.col("norm"), SHINGLE), lambda x: F.xxhash64(x)))
+    out = write_scratch(found.select("id", hashes.alias("h")).withColumn("m", F.size("h")), "line-texts")
     drop_scratch(places)
     return out
 
@@ -93,10 +94,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     # sets whose sizes differ by more than the threshold allows can't be that similar: most pairs go before texts are joined
     size = lambda name, m: texts.select(F.col("id").alias(name), F.col("m").alias(m))
     pairs = pairs.join(size("a", "ma"), "a").join(size("b", "mb"), "b").where(F.least("ma", "mb") >= threshold * F.greatest("ma", "mb")).select("a", "b")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
-    sets = both.select("a", "b", _shingles(F.col("x"), SHINGLE).alias("x"), _shingles(F.col("y"), SHINGLE).alias("y"))
-    alike = F.size(F.array_intersect("x", "y")) >= F.lit(threshold) * F.size(F.array_union("x", "y"))
-    return sets.where(alike).select("a", "b").distinct()
+    sets = lambda name, h, m: texts.select(F.col("id").alias(name), F.col("h").alias(h), F.col("m").alias(m))
+    both = pairs.join(sets("a", "x", "ma"), "a").join(sets("b", "y", "mb"), "b").withColumn("n", F.size(F.array_intersect("x", "y")))
+    return both.where(F.col("n") >= F.lit(threshold) * (F.col("ma") + F.col("mb") - F.col("n"))).select("a", "b").distinct()
 
 
 def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:

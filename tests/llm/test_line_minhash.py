@@ -102,9 +102,11 @@ def test_long_words_are_verified_exactly(spark):
     v = [x[:30] + "_" + x[31:] if k < 7 else x for k, x in enumerate(w)]
     a, b = shingles(" ".join(w)), shingles(" ".join(v))
     assert len(a & b) / len(a | b) > 0.85 and len(set(w) & set(v)) / len(set(w) | set(v)) < 0.3
-    texts = spark.createDataFrame([(1, " ".join(w), len(a)), (2, " ".join(v), len(b))], "id long, norm string, m int")
-    pair = spark.createDataFrame([(1, 2)], "a long, b long")
-    assert line_minhash._verified(pair, texts, 0.8).count() == 1
+    lines = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(v))], "__doc long, __text string")
+    distinct = line_minhash._distinct(line_minhash._signed(line_minhash._lines(lines)))
+    ids = [r.id for r in distinct.select("id").collect()]
+    texts = line_minhash._texts(lines, distinct, distinct.select("id"))
+    assert line_minhash._verified(spark.createDataFrame([tuple(ids)], "a long, b long"), texts, 0.8).count() == 1
 
 
 @pytest.mark.parametrize("n", [10, 100])
