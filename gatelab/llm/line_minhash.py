@@ -2,29 +2,33 @@
 
 Lines are compared in lower case and trimmed.  Lines that are then equal are one
 distinct line, known by 128 bits of hashes and by its first place (smallest document
-id, then line number).
+id, then a hash of the text, then line number).
 
-Signatures are bottom-k MinHash sketches, the k least hashes of all shingles of 5
-characters, the shingles that are compared, for lines of any length.  Every three
-entries of a sketch are a band, so two lines meet when they share any three of their
-five least shingles.
+Signatures are made of the shingles that are compared, those of 5 characters.  To spare
+work, a line with many of them is signed by those that start with one of a few characters,
+a line with few such by all; a line between the two by both, so that similar lines have a
+kind in common.  The kind goes by the sets, not by lengths.  The hashes of a set lie on a
+circle; the first hash at or after a fixed point is one MinHash value, and BANDS bands of
+ROWS values each use points far from one another.  Two lines of Jaccard similarity 0.8 meet
+in a band with a probability of some 0.95, more above (tests/llm measures it).
 
 Candidates are verified exactly: Jaccard similarity of the sets of all 5-character
-shingles, by 64-bit hashes made once for each line.  In a band each line is first verified against the band's most frequent
-line; after union-find over the links, lines of other components than that one's are
-verified against the lines of all components but their own.  So every pair of a band
-is either compared or already connected, and no band emits all its pairs.
+shingles (by 64-bit hashes).  In a band each line is first verified against the band's
+most frequent line.  After union-find over the links, lines of one band and different
+components are verified in rounds: in each, a few more lines of every band meet the lines
+of other components, and links found spare the rounds that follow.  So every pair of a
+band is either compared or already connected.
 
 One line of each component stays, the first; the others are removed from their
-documents.  Blank lines stay.  Documents without a text keep their null; documents of
-null id stay as they are; documents of equal id are one document.
-Repeated rows are changed alike.  Columns other than the id and the text are carried along.
+documents.  Blank lines stay.  Documents without a text keep their null, empty texts stay
+empty, and texts of any length are whole; documents of null id stay as they are.  Rows of
+equal id and equal text are changed alike; rows of equal id and different texts are
+different documents.  An empty table gives an empty one.  Other columns are carried along,
+whatever their names; those named `__n_lines` or `__n_removed` are replaced.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,96 +36,146 @@ from gatelab.llm.components import connected_components
 from gatelab.llm.runtime import drop_scratch, write_scratch
 
 SHINGLE = 5
-SKETCH = 5  # entries of a sketch
+BANDS, ROWS = 14, 6
+POINTS = 128  # a power of two
+#: Signatures take the shingles that start with one of these, of long lines.
+SAMPLED = "adgilptu048"
+#: With this many sampled shingles or more a line is signed by them, with that many or fewer by all its shingles, in between by both.
+FEW = (40, 54)
+
+#: Lines of a band that meet the others in each round after the first, as expected; the last round takes all that are left.
+ROUNDS = (2, 16, 128)
+
+#: Lines of candidate pairs are looked up by a broadcast of their places up to this many (about 60 MB), else by a shuffle.
+BROADCAST_LINES = 500_000
+
 
-#: Lines of candidate pairs are looked up by a broadcast of their places up to this many (about 100 MB), else by a shuffle.
-BROADCAST_LINES = 1_000_000
+def _raw_lines(docs: DataFrame) -> DataFrame:
+    """doc, th (hash of the text), pos, line; docs has __doc and __text."""
+    rows = docs.where("__doc is not null").select(F.col("__doc").alias("doc"), F.xxhash64("__text").alias("th"), F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
+    return rows
+
+
+def _normal(rows: DataFrame) -> DataFrame:
+    """With norm, k1 and k2 instead of line."""
+    rows = rows.withColumn("norm", F.btrim(F.lower("line"), F.lit(" \t\r\f\x0b"))).drop("line")
+    return rows.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(7), "norm")})
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """doc, pos, norm, k1, k2 for every line that isn't blank; docs has __doc and __text."""
-    rows = docs.where("__doc is not null").select(F.col("__doc").alias("doc"), F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
-    rows = rows.select("doc", "pos", F.btrim(F.lower("line"), F.lit(" \t\r\f\x0b")).alias("norm")).where("norm <> ''")
-    return rows.select("doc", "pos", "norm", F.xxhash64("norm").alias("k1"), F.xxhash64(F.lit(7), "norm").alias("k2"))
+    """doc, th, pos, norm, k1, k2 for every line that isn't blank."""
+    return _normal(_raw_lines(docs)).where("norm <> ''")
+
+
+def _hashes(shingles: Column) -> Column:
+    return F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x)))
 
 
-def _shingles(norm: Column, n: int) -> Column:
-    """All shingles of n characters; a shorter line is its own only shingle."""
-    return F.when(F.length(norm) < n, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{n}}}))"), 1))
+def _shingle_hashes(norm: Column) -> Column:
+    """The set of hashes of all shingles; a shorter line is its own only shingle."""
+    return _hashes(F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)))
+
+
+def _circle(lines: DataFrame, name: str) -> DataFrame:
+    """The column of sorted hashes replaced by the first hash at or after each of POINTS points, around the circle."""
+    arc = lambda x: F.shiftright(x, 65 - POINTS.bit_length()).cast("int")  # noqa: E731  -POINTS / 2 and up
+    # each hash stands for the points since the hash before it, the first one also for those after the last
+    at = F.flatten(F.transform(name, lambda x, i: F.array_repeat(x, arc(x) - F.coalesce(arc(F.get(name, i - 1)), F.lit(-POINTS // 2 - 1)))))
+    return lines.withColumn(name, F.concat(at, F.array_repeat(F.get(name, F.lit(0)), F.lit(POINTS // 2 - 1) - arc(F.try_element_at(name, F.lit(-1))))))
+
+
+def _bands(at: str, kind: int) -> Column:
+    step = POINTS // ROWS
+    hashes = lambda j: F.xxhash64(F.lit(kind), j, *[F.get(at, F.lit(r * step) + F.pmod(j * (r + 1), F.lit(BANDS))) for r in range(ROWS)])
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), hashes)
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """lines with bands: hashes of every three entries of the sketches (of fewer where a sketch is smaller)."""
-    least = F.slice(F.sort_array(F.array_distinct(F.transform(_shingles(F.col("norm"), SHINGLE), lambda x: F.xxhash64(x)))), 1, SKETCH)
-    lines = lines.withColumn("least", least)
-    bands = []
-    for i, j, k in combinations(range(SKETCH), 3):
-        x, y, z = (F.get("least", F.lit(e)) for e in (i, j, k))
-        bands.append(F.when(x.isNotNull(), F.xxhash64(x, y, z)))
-    return lines.select("doc", "pos", "k1", "k2", F.array_distinct(F.array_compact(F.array(*bands))).alias("bands"))
+    """doc, th, pos, k1, k2, bands."""
+    some = _hashes(F.regexp_extract_all("norm", F.lit(f"(?s)(?=([{SAMPLED}].{{{SHINGLE - 1}}}))"), 1))
+    lines = lines.withColumn("some", F.sort_array(some)).withColumn("n", F.size("some"))
+    lines = lines.withColumn("all", F.when(F.col("n") <= FEW[1], F.sort_array(_shingle_hashes(F.col("norm")))))
+    lines = lines.withColumn("some", F.when(F.col("n") >= FEW[0], F.col("some"))).drop("norm", "n")
+    lines = _circle(_circle(lines, "some"), "all")
+    none = F.array().cast("array<bigint>")
+    bands = F.concat(*[F.when(F.col(at).isNull(), none).otherwise(_bands(at, kind)) for kind, at in enumerate(("some", "all"))])
+    return lines.select("doc", "th", "pos", "k1", "k2", bands.alias("bands"))
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: id, k1, k2, first (doc, pos), n, bands."""
-    out = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count("*").alias("n"), F.min("bands").alias("bands"))
+    """One row per distinct line: id, k1, k2, first (doc, th, pos), n, bands."""
+    out = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
     return write_scratch(out.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
 
 
 def _members(distinct: DataFrame) -> DataFrame:
-    """id, band, rep: the lines of all bands that hold two or more, and the most frequent line of each."""
+    """band, id, hub, m: the lines of all bands that hold two or more, the most frequent line of each, and how many it has."""
     rows = distinct.select("id", "n", F.explode("bands").alias("band"))
     # count and id in one number, for a grouped maximum of fixed width
     order = F.shiftleft(F.least("n", F.lit(255)), 55) - F.col("id")
-    reps = rows.groupBy("band").agg(F.max(order).alias("top"), F.count("*").alias("m")).where("m > 1").select("band", "top")
-    rep = F.pmod(-F.col("top"), F.lit(1 << 55))
-    return write_scratch(rows.join(reps, "band").select("band", "id", rep.alias("rep")), "band-members")
+    hubs = rows.groupBy("band").agg(F.max(order).alias("top"), F.count("*").alias("m")).where("m > 1")
+    return write_scratch(rows.join(hubs, "band").select("band", "id", F.pmod(-F.col("top"), F.lit(1 << 55)).alias("hub"), "m"), "band-members")
 
 
 def _texts(docs: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, h (64-bit hashes of its set of shingles) and m (how many) of the given distinct lines, read again at their first places."""
-    places = write_scratch(distinct.join(ids, "id", "left_semi").select("id", F.col("first.doc").alias("doc"), F.col("first.pos").alias("pos"), "k1", "k2"), "places")
+    """id, norm of the given distinct lines, read again at their first places."""
+    places = write_scratch(distinct.join(ids, "id", "left_semi").select("id", "first.doc", "first.th", "first.pos", F.col("k1").alias("l1"), F.col("k2").alias("l2")), "places")
     few = places.count() <= BROADCAST_LINES
-    # the first place may stand in several rows of one id: the hashes tell them apart, and one of equal rows is enough
-    found = _lines(docs).join(F.broadcast(places) if few else places, ["doc", "pos", "k1", "k2"]).select("id", "norm")
-    hashes = F.array_distinct(F.transform(_shingles(F.col("norm"), SHINGLE), lambda x: F.xxhash64(x)))
-    out = write_scratch(found.select("id", hashes.alias("h")).withColumn("m", F.size("h")), "line-texts")
+    found = _raw_lines(docs).join(F.broadcast(places) if few else places, ["doc", "th", "pos"])
+    out = write_scratch(_normal(found).where("k1 = l1 and k2 = l2").select("id", "norm"), "line-texts")
     drop_scratch(places)
     return out
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of at least that Jaccard similarity."""
-    # sets whose sizes differ by more than the threshold allows can't be that similar: most pairs go before texts are joined
-    size = lambda name, m: texts.select(F.col("id").alias(name), F.col("m").alias(m))
-    pairs = pairs.join(size("a", "ma"), "a").join(size("b", "mb"), "b").where(F.least("ma", "mb") >= threshold * F.greatest("ma", "mb")).select("a", "b")
-    sets = lambda name, h, m: texts.select(F.col("id").alias(name), F.col("h").alias(h), F.col("m").alias(m))
-    both = pairs.join(sets("a", "x", "ma"), "a").join(sets("b", "y", "mb"), "b").withColumn("n", F.size(F.array_intersect("x", "y")))
-    return both.where(F.col("n") >= F.lit(threshold) * (F.col("ma") + F.col("mb") - F.col("n"))).select("a", "b").distinct()
+    side = lambda name, norm: texts.select(F.col("id").alias(name), F.col("norm").alias(norm))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", _shingle_hashes(F.col("x")).alias("x"), _shingle_hashes(F.col("y")).alias("y"))
+    sizes = both.withColumns({"n": F.size(F.array_intersect("x", "y")), "sum": F.size("x") + F.size("y")})
+    return sizes.where(F.col("n") >= F.lit(threshold) * (F.col("sum") - F.col("n"))).select("a", "b").distinct()
+
+
+def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """band, id, c, u: the lines of bands that hold several components; u orders them, evenly from 0 to the size of the band."""
+    rows = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    rows = rows.select("band", "id", "m", F.coalesce("component", "id").alias("c"))
+    several = rows.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    return rows.join(several, "band", "left_semi").select("band", "id", "c", F.pmod(F.xxhash64("id", "band"), F.col("m")).alias("u"))
 
 
 def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """docs: __doc, __text.  The distinct lines, and node, component for those that have links."""
     distinct = _distinct(_signed(_lines(docs)))
     members = _members(distinct)
-    pairs = write_scratch(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
+    pairs = write_scratch(members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
     texts = _texts(docs, distinct, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     links = write_scratch(_verified(pairs, texts, threshold), "line-links")
     found = write_scratch(connected_components(links), "line-components")
-
-    # lines of a band outside its first line's component meet the band's other components
-    of = found.select(F.col("node").alias("id"), "component")
-    rep_of = found.select(F.col("node").alias("rep"), F.col("component").alias("rep_component"))
-    rows = members.join(of, "id", "left").join(rep_of, "rep", "left")
-    rows = rows.select("band", "id", "rep", F.coalesce("component", "id").alias("c"), F.coalesce("rep_component", "rep").alias("rc"))
-    apart = write_scratch(rows.where("c <> rc"), "lines-apart")
-    others = rows.join(apart.select("band").distinct(), "band", "left_semi").select("band", F.col("id").alias("b"), F.col("c").alias("cb"), (F.col("c") != F.col("rc")).alias("apart"))
-    cross = apart.select("band", F.col("id").alias("a"), F.col("c").alias("ca"), "rep").join(others, "band")
-    cross = cross.where("ca <> cb and b <> rep and (not apart or a < b)").select("a", "b").distinct()
-    more = write_scratch(_verified(cross, texts, threshold), "line-links")
-    drop_scratch(members, apart)
-    if more.limit(1).count():
-        found = write_scratch(connected_components(links.union(more)), "line-components")
-    drop_scratch(pairs, texts)
+    drop_scratch(links)
+
+    tested, low = [pairs], 0
+    for high in (*ROUNDS, None):
+        apart = write_scratch(_apart(members, found), "lines-apart")
+        # a pair belongs to the round of the lesser of its two in the order of the band
+        hubs = apart.where(F.col("u").between(low, high - 1) if high else F.col("u") >= low)
+        a = hubs.select("band", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("u").alias("ux"))
+        b = apart.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("u").alias("uy"))
+        cross = a.join(b, "band").where("cx <> cy and (uy > ux or (uy = ux and y > x))").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        for t in tested:
+            cross = cross.join(t, ["a", "b"], "left_anti")
+        cross = write_scratch(cross, "pairs")
+        tested.append(cross)
+        low = high
+        drop_scratch(apart)
+        if not cross.limit(1).count():
+            continue
+        more = write_scratch(_verified(cross, texts, threshold), "line-links")
+        if more.limit(1).count():
+            now = write_scratch(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "line-components")
+            drop_scratch(found)
+            found = now
+        drop_scratch(more)
+    drop_scratch(members, texts, *tested)
     return distinct, found
 
 
@@ -133,18 +187,21 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     rows = rows.where("n > 1 or component is not null").withColumn("c", F.coalesce("component", "id"))
     keeper = rows.groupBy("c").agg(F.min("first").alias("keep"))
     affected = rows.join(keeper, "c").select("k1", "k2", "keep")
-    places = _lines(base).select("doc", "pos", "k1", "k2")
-    gone = places.join(affected, ["k1", "k2"]).where("doc <> keep.doc or pos <> keep.pos")
-    gone = write_scratch(gone.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("__gone")), "removed-lines")
-
-    lines = F.split(F.col(text_col), "\n")
-    out = docs.join(gone, F.col(id_col).cast("long") == F.col("doc"), "left").drop("doc").withColumn("__lines", lines)
+    places = _lines(base).select("doc", "th", "pos", "k1", "k2")
+    gone = places.join(affected, ["k1", "k2"]).where("doc <> keep.doc or th <> keep.th or pos <> keep.pos")
+    gone = write_scratch(gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "removed-lines")
+    drop_scratch(distinct, found)
+
+    names = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    out = docs.select(row, F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th")).join(gone, ["doc", "th"], "left")
+    out = out.select("row", "gone", F.split(F.col("row")[text_col], "\n").alias("lines"))
     # what stands between removed lines, in one pass over them
-    edges = F.concat(F.array(F.lit(-1)), "__gone", F.array(F.size("__lines")))
-    between = F.transform(F.sequence(F.lit(1), F.size("__gone") + 1), lambda i: F.slice("__lines", F.element_at("__edges", i) + 2, F.element_at("__edges", i + 1) - F.element_at("__edges", i) - 1))
-    out = out.withColumn("__edges", edges)
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.flatten(between), "\n"))
-    n_lines = F.when(F.col(text_col).isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    n_gone = F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
-    keep = [F.col(c) if c != text_col else text.alias(c) for c in docs.columns]
+    out = out.withColumn("edges", F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("lines"))))
+    between = F.transform(F.sequence(F.lit(1), F.size("gone") + 1), lambda i: F.slice("lines", F.element_at("edges", i) + 2, F.element_at("edges", i + 1) - F.element_at("edges", i) - 1))
+    kept = F.col("row")[text_col]
+    text = F.when(F.col("gone").isNull(), kept).otherwise(F.array_join(F.flatten(between), "\n"))
+    n_lines = F.when(kept.isNull(), 0).otherwise(F.size("lines")).cast("long")
+    n_gone = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    keep = [(F.col("row")[c] if c != text_col else text).alias(c) for c in names]
     return out.select(*keep, n_lines.alias("__n_lines"), n_gone.alias("__n_removed"))
