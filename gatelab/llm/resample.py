@@ -24,8 +24,9 @@ the driver can hold).
 A document is good when its least quality label is 1 and its largest toxic label
 is 0; null labels count as bad.  Null or empty text has log weight 0.  Rows of equal id draw
 equal variates.  Rows tied with the k-th key all stay.  With no labelled good
-document nothing differs from the target and every log weight is 0.  Other columns
-are carried along unread.
+document nothing differs from the target and every log weight is 0.  Very long texts
+are weighed whole.  An empty table gives an empty one.  Other columns
+are carried along unread; those named `__log_weight` or `__gumbel_key` are replaced.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelab.llm.runtime import LOWER, SPACED, arrow_map, long_column, mix, slices, utf8, word_bounds, word_hashes, write_scratch
+from gatelab.llm.runtime import LOWER, SPACED, arrow_map, drop_scratch, long_column, mix, ship, slices, utf8, word_bounds, word_hashes, write_scratch
 
 BITS = (20, 18)
 MOST_BITS = 21
@@ -71,8 +72,8 @@ def good_ids(labels: DataFrame, max_labelled: int) -> np.ndarray:
     labels = labels.groupBy(F.col("doc_id").cast("long").alias("i")).agg(
         F.min(F.coalesce(F.col("quality"), F.lit(0))).alias("q"), F.max(F.coalesce(F.col("toxic"), F.lit(1))).alias("t")
     )
-    rows = labels.where("q = 1 and t = 0 and i is not null").select("i").orderBy(F.xxhash64("i"), "i").limit(max_labelled).collect()
-    return np.sort(np.array([r.i for r in rows], np.int64))
+    rows = labels.where("q = 1 and t = 0 and i is not null").select("i").orderBy(F.xxhash64("i"), "i").limit(max_labelled).toArrow()
+    return np.sort(rows.column("i").to_numpy())
 
 
 def count_ngrams(docs: DataFrame, good: np.ndarray, bits: tuple[int, int] = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -138,25 +139,26 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096) -> float
 def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 1.0, significance: float = 2.5, max_labelled: int = 1_000_000, seed: int = 7) -> DataFrame:
     """docs with __log_weight and __gumbel_key."""
     spark = docs.sparkSession
-    base = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__text", F.col(text_col))
+    ship(spark)
+    base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     bits = table_bits(base, "__text")
     raw, target = count_ngrams(base, good_ids(labels, max_labelled), bits)
     model = spark.sparkContext.broadcast(log_ratios(raw, target, prior, significance, bits))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("__text"))
-            weight = np.zeros(batch.num_rows)
+    @F.arrow_udf("double")
+    def log_weight(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in texts:
+            data, offsets = utf8(column)
+            weight = np.zeros(len(column))
             for a, b in slices(offsets, SLICE):
                 k, doc = buckets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], bits)
                 weight[a:b] = np.bincount(doc, model.value[k], minlength=b - a)
-            u = mix(mix(long_column(batch, "__id").view(np.uint64)) + np.uint64(seed))
-            u = ((u >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
-            out = batch.drop_columns(["__id", "__text"])
-            yield out.append_column("__log_weight", pa.array(weight)).append_column("__gumbel_key", pa.array(weight - np.log(-np.log(u))))
+            yield pa.array(weight)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return arrow_map(base, run, f"{fields}, __log_weight double, __gumbel_key double")
+    # only texts go to Python and only weights come back
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("long")), 12) + F.lit(0.5)) / F.lit(2.0**52)
+    weighed = docs.withColumn("__log_weight", log_weight(F.col(text_col)))
+    return weighed.withColumn("__gumbel_key", F.col("__log_weight") - F.log(-F.log(u)))
 
 
 def least_key(weights: DataFrame, k: int | None = None, tolerance: float = 4.0) -> float | None:
@@ -183,4 +185,6 @@ def keep_sampled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     of the sample, and computed again where the texts are."""
     weighed = weigh(docs, labels, id_col, text_col, **how)
     weights = write_scratch(weighed.select("__log_weight", "__gumbel_key"), "weights")
-    return weighed.where(_in_sample(least_key(weights, k, tolerance))).select(*docs.columns)
+    least = least_key(weights, k, tolerance)
+    drop_scratch(weights)
+    return weighed.where(_in_sample(least)).select(*docs.columns)
