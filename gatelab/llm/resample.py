@@ -5,7 +5,9 @@ for each; an n-gram counts once per document): the target model counts labelled
 documents, the raw model counts the whole corpus.  A bucket's log ratio shrinks smoothly
 with the evidence for it: by 1 - `significance`**2 / deviance, where the deviance is that
 of a Poisson count from the expected one, and to zero below; several n-grams of some
-evidence add up.  `prior` pseudo-counts draw the ratios towards no difference.  A document's log
+evidence add up.  The shrunk ratios are drawn towards zero by `margin` more, so that shares
+of languages, subjects and copies that differ a little between labelled and raw text
+don't add up over long texts.  `prior` pseudo-counts draw the ratios towards no difference.  A document's log
 weight is the sum of the log ratios of its n-grams, so text like the target is near
 zero, and text with several n-grams that the target lacks is far below.
 
@@ -102,7 +104,7 @@ def count_ngrams(docs: DataFrame, good: np.ndarray, bits: tuple[int, int] = BITS
     return raw, target
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float, significance: float, bits: tuple[int, int] = BITS) -> np.ndarray:
+def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float, significance: float, bits: tuple[int, int] = BITS, margin: float = 0.0) -> np.ndarray:
     out, at = np.zeros(n_buckets(bits), np.float32), 0
     for b in bits:
         part = slice(at, at := at + (1 << b))
@@ -111,7 +113,9 @@ def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float, significance:
             expected = raw[part] * (n_target / n_raw)
             seen = np.where(target[part] > 0, target[part] * np.log(np.maximum(target[part], 1) / np.maximum(expected, 1e-9)), 0)
             deviance = np.maximum(2 * (seen - target[part] + expected), 1e-9)
-            out[part] = np.log((target[part] + prior) / (expected + prior)) * np.maximum(0, 1 - significance**2 / deviance)
+            ratio = np.log((target[part] + prior) / (expected + prior))
+            ratio *= np.maximum(0, 1 - significance**2 / deviance)
+            out[part] = np.sign(ratio) * np.maximum(np.abs(ratio) - margin, 0)
     return out
 
 
@@ -136,14 +140,14 @@ def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096) -> float
     return low
 
 
-def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 1.0, significance: float = 2.5, max_labelled: int = 1_000_000, seed: int = 7) -> DataFrame:
+def weigh(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", prior: float = 1.0, significance: float = 2.5, margin: float = 1.0, max_labelled: int = 1_000_000, seed: int = 7) -> DataFrame:
     """docs with __log_weight and __gumbel_key."""
     spark = docs.sparkSession
     ship(spark)
     base = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__text"))
     bits = table_bits(base, "__text")
     raw, target = count_ngrams(base, good_ids(labels, max_labelled), bits)
-    model = spark.sparkContext.broadcast(log_ratios(raw, target, prior, significance, bits))
+    model = spark.sparkContext.broadcast(log_ratios(raw, target, prior, significance, bits, margin))
 
     @F.arrow_udf("double")
     def log_weight(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
