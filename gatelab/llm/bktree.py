@@ -14,7 +14,9 @@ not all pairs, and union-find over these gives components.
 
 Documents without words (null, empty, white space) have fingerprint zero and are
 linked like any other; with fewer words than a shingle, the whole sequence is
-the one shingle.  Rows with equal ids are one document of that id each.  Other
+the one shingle.  Texts of any length are taken whole.  Rows with equal ids are one
+document of that id each; a null id is no smaller than any id, so a component of null
+ids alone has a null component_id.  An empty table gives an empty one.  Other
 columns are not read.
 
 `keep_one` (the stage of the pipeline) reaches further than fingerprints can: near copies

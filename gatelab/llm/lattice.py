@@ -20,7 +20,8 @@ front.  A text's own U+2581 is written in bytes, so that it is not taken for a
 space: decoding always gives back the text.
 
 Null text is encoded as null; empty text as no pieces.  Repeated rows get equal
-pieces.  A null key is a key like any other.  Other columns are carried along.
+pieces.  A null key is a key like any other.  Texts of any length are encoded whole.
+Other columns are carried along; one named like an output column is replaced by it.
 """
 
 from __future__ import annotations
@@ -259,6 +260,8 @@ def encode(
                     yield out
 
     base = df.withColumn("__key", F.col(key_col).cast("long")).withColumn("__text", F.col(text_col))
+    df = df.drop(out_col, *[check_col] * bool(check_col))  # what the new columns replace
+    base = base.select(*[F.col(f"`{c}`") for c in df.columns], "__key", "__text")
     return arrow_map(base, run, f"{_fields(df)}`{out_col}` array<int>" + f", `{check_col}` boolean" * bool(check_col))
 
 
@@ -273,4 +276,5 @@ def decode(df: DataFrame, pieces_col: str = "pieces", out_col: str = "decoded",
                 text = [None if p is None else lattice.decode(p) for p in part.column(pieces_col).to_pylist()]
                 yield part.append_column(out_col, pa.array(text, pa.string()))
 
+    df = df.select(*[F.col(f"`{c}`") for c in df.columns if c != out_col])
     return arrow_map(df, run, f"{_fields(df)}`{out_col}` string")

@@ -3,7 +3,9 @@
 Rows with equal texts form an atomic group.  Groups are ordered by a 64-bit hash
 of their text, and shards are runs of that order.  The smallest feasible shard
 capacity is found by binary search; a capacity is checked greedily (fill a shard
-until the next group would not fit), and the cuts are those of the greedy fill.
+until the next group would not fit).  Where one group alone makes up the capacity, the
+other shards are filled to the lowest level at which all shards are enough, so that all of
+them are used and near equal.
 
 The driver never holds the groups.  It holds at most `fan_out` sums for ranges of
 hash values.  A search over such ranges brackets the best capacity and each cut;
@@ -13,7 +15,8 @@ group may hold any share of the rows.
 
 Slots are numbered from 0 without gaps inside a shard: rows are dealt to blocks by
 a hash of the id, blocks have offsets from their counts, and a row's slot is the
-offset plus its rank in its block.
+offset plus its rank in its block, by id (null first) and a hash of the text; equal rows
+are in any order.
 
 Null text counts as empty: its size is the per-row overhead, its checksum 0, and it
 is in one group with empty texts.  Repeated rows keep one slot each.  An empty
@@ -63,6 +66,28 @@ class Ranges:
                 low = mid + 1
         return low
 
+    def level_ends(self, level: int) -> list[int]:
+        """Ends of shards filled up to a level; what is larger than the level is a shard of its own."""
+        ends, at = [], 0
+        while at < self.total:
+            k = bisect_right(self.sums, at + level) - 1
+            at = self.sums[k] if self.sums[k] > at else self.sums[bisect_right(self.sums, at)]
+            ends.append(at)
+        return ends
+
+    def even_ends(self, capacity: int, shards: int) -> list[int] | None:
+        """Ends of shards filled to the lowest level at which they are enough: where one group is larger than that, the
+        other shards don't grow with it.  None where known edges don't allow it within the capacity."""
+        low, high = max(1, -(-self.total // shards) // 2), capacity
+        while low < high:
+            mid = (low + high) // 2
+            if len(self.level_ends(mid)) <= shards:
+                high = mid
+            else:
+                low = mid + 1
+        ends = self.level_ends(low) if self.total else []
+        return ends if len(ends) <= shards and all(b - a <= capacity for a, b in zip([0, *ends], ends)) else None
+
     def open_ranges(self, shards: int) -> tuple[int, list[int], list[tuple[int, int]]]:
         """The capacity, the cuts (first hash of shards 1, 2, ...) and the ranges that must be split before both are exact."""
         high = self.smallest(shards, True)
@@ -75,7 +100,8 @@ class Ranges:
                 if self.ranges[i][1]:
                     wanted[self.ranges[i][0]] = self.ranges[i][1]
                 i += 1
-        ends = dict.fromkeys(x for x in self.fill(high, shards)[0][1:] if x < self.total)
+        ends = None if wanted else self.even_ends(high, shards)
+        ends = dict.fromkeys(x for x in ends or self.fill(high, shards)[0][1:] if x < self.total)
         cuts = [self.ranges[bisect_right(self.sums, x) - 1][0] for x in ends]
         return high, cuts, sorted(wanted.items())
 

@@ -14,8 +14,12 @@ one block, each is searched in a pass of its own and the spans are merged by row
 
 Terms are compared by 64-bit hashes of their lower-case words, position by position.
 
+The index lives as long as the pass over its segment: what it holds depends on the items'
+terms, and building it costs less than reading it back, so it isn't stored.
+
 Null text has no words: such documents are reported with zeros, such items never
-match.  Null item ids are the empty string.  Repeated rows get equal results.
+match.  A null document id stays null.  Texts of any length are searched whole; a very
+long one is a segment of its own.  Empty tables give empty results.  Null item ids are the empty string.  Repeated rows get equal results.
 Columns other than the ids and texts are not read.
 """
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -202,7 +207,7 @@ def search_exact(index: DataFrame, block: Phrases) -> DataFrame:
                 spans[d] = [{"start": x, "end": y} for x, y in merged(a, a + p.lengths[w[rows]])]
                 items[d] = sorted({p.items[i] for i in p.owner[w[rows]]})
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(np.diff(s.first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
+                [pa.array(ids, mask=ids == -(2**63)), pa.array(np.diff(s.first)), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(items, pa.list_(pa.string()))],
                 names=["doc_id", "n_words", "spans", "items"],
             )
 
@@ -220,7 +225,7 @@ def search_near(index: DataFrame, block: Phrases, span: int) -> DataFrame:
             at = np.array([r[1] for r in rows], np.int64)
             d = s.doc_of(at)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[d]), pa.array([p.items[r[0]] for r in rows], pa.string()), pa.array(at - s.first[d]), pa.array(np.array([r[2] for r in rows], np.int64) - s.first[d])],
+                [pa.array(ids[d], mask=ids[d] == -(2**63)), pa.array([p.items[r[0]] for r in rows], pa.string()), pa.array(at - s.first[d]), pa.array(np.array([r[2] for r in rows], np.int64) - s.first[d])],
                 names=["doc_id", "item_id", "start", "end"],
             )
 
@@ -239,12 +244,14 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, width: int, block_
 
 def contamination(docs: DataFrame, items: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_words, spans (words inside an occurrence of a window of an item), items."""
-    blocks = list(item_blocks(items, item_id, item_text, width, block_bytes))
-    if len(blocks) == 1:
-        return search_exact(build_index(docs, blocks[0].terms, id_col, text_col), blocks[0])
+    blocks = item_blocks(items, item_id, item_text, width, block_bytes)
+    block = next(blocks)
+    second = next(blocks, None)
+    if second is None:
+        return search_exact(build_index(docs, block.terms, id_col, text_col), block)
     rows = write_scratch(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "rows")
     parts = None
-    for b in blocks:
+    for b in chain([block, second], blocks):  # no more than two are held at once
         found = write_scratch(search_exact(build_index(rows, b.terms, "row"), b), "matches")
         parts = found if parts is None else parts.union(found)
     whole = parts.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))

@@ -154,3 +154,14 @@ def test_bk_tree():
         tree.add(v, i)
     for q in range(0, 1024, 37):
         assert sorted(tree.within(q, 2)) == [i for i, v in enumerate(values) if (v ^ q).bit_count() <= 2]
+
+
+@pytest.mark.parametrize("sizes, shards", [([5] * 300 + [1500] + [5] * 300, 40), ([1] * 1000, 7), ([9, 1, 1, 1, 9], 3), ([4], 5), ([], 3)])
+def test_shards_are_near_equal_below_the_capacity(sizes, shards):
+    capacity, cuts = minimax.minimax(sizes, shards)
+    edges = [0, *cuts, len(sizes)]
+    parts = [sum(sizes[a:b]) for a, b in zip(edges, edges[1:])]
+    assert max(parts, default=0) <= capacity and len(parts) <= shards
+    if len(sizes) > 500:
+        rest = sorted(parts)[2:-1]  # without a dominating group, and the shards that it and the end cut short
+        assert len(parts) >= shards - 1 and max(rest) <= 1.3 * min(rest)

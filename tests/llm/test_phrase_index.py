@@ -87,3 +87,12 @@ def test_drop_judges_rows_not_ids(spark, tables):
     rows = [(None, bad), (None, clean), (1, bad), (1, clean), (1, clean), (2, None)]
     kept = phrase_index.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), b).collect()
     assert sorted((tuple(r) for r in kept), key=str) == sorted([(None, clean), (1, clean), (1, clean), (2, None)], key=str)
+
+
+def test_null_ids_stay_null(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    docs = spark.createDataFrame([(None, text), (1, "w1"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", text)], "item_id string, text string")
+    rows = phrase_index.report(phrase_index.contamination(docs, items)).collect()
+    assert sorted((str(r.doc_id), r.n_hit) for r in rows) == [("1", 0), ("None", 0), ("None", 30)]
+    assert sorted(str(r.doc_id) for r in phrase_index.drop_contaminated(docs, items).collect()) == ["1", "None"]

@@ -164,3 +164,42 @@ def test_rejection_at_any_size(spark, n):
     assert sum(clean) >= 0.97 * len(clean)
     if n >= 1000:  # with 200 documents and 80 labels, a word in nine documents isn't told from chance
         assert sum(bad) >= 0.95 * len(bad)
+
+
+def test_columns_named_like_the_output_are_replaced(spark):
+    df = spark.createDataFrame([(1, "some text", 5, "x")], "doc_id long, text string, pieces int, decoded string")
+    found = lattice.decode(lattice.encode(df)).collect()
+    assert [(r.doc_id, r.decoded, type(r.pieces)) for r in found] == [(1, "some text", list)]
+
+
+def test_weights_match_brute_force(spark):
+    """Log weights again, from the texts, with a bucket for every n-gram."""
+    import math
+
+    rng = random.Random(3)
+    common = [f"w{k}" for k in range(60)]
+    docs = [(i, " ".join(rng.choices(common, k=rng.choice([0, 1, 30, 80])) + ["bad"] * (i % 4 == 0))) for i in range(400)]
+    docs += [(900, None), (901, ""), (902, " ".join(common * 200)), (None, docs[1][1])]
+    labels = [(i, 1, int(i % 4 == 0)) for i, _ in docs if i is not None and i % 3 == 0]
+    grams = lambda t, n: {tuple((t or "").lower().split()[k : k + n]) for k in range(len((t or "").split()) - n + 1)}
+    good = {i for i, q, t in labels if q == 1 and not t}
+    ratio = {}
+    for n in (1, 2):
+        raw, target = {}, {}
+        for i, t in docs:
+            for g in grams(t, n):
+                raw[g] = raw.get(g, 0) + 1
+                if i in good:
+                    target[g] = target.get(g, 0) + 1
+        share = sum(target.values()) / sum(raw.values())
+        for g, r in raw.items():
+            e, c = r * share, target.get(g, 0)
+            deviance = max(2 * ((c * math.log(c / e) if c else 0) - c + e), 1e-9)
+            x = math.log((c + 1) / (e + 1)) * max(0, 1 - 2.5**2 / deviance)
+            ratio[g] = math.copysign(max(abs(x) - 1, 0), x)
+    want = sorted((str(i), sum(ratio[g] for n in (1, 2) for g in grams(t, n))) for i, t in docs)
+    rows = resample.resample(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    got = sorted((str(r.doc_id), r.log_weight) for r in rows)
+    assert [g[0] for g in got] == [w[0] for w in want]
+    assert sum(abs(g[1] - w[1]) > 1e-3 for g, w in zip(got, want)) <= 4  # buckets may collide
+    assert min(w[1] for w in want) < -0.5
