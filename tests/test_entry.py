@@ -4,6 +4,8 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 
 
@@ -13,12 +15,13 @@ def test_every_sql_has_a_query():
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) >= 60
 
 
-def test_without_llm(tmp_path):
-    """Imports and the study's queries don't need the training-data folders."""
+@pytest.mark.parametrize("gone", [["llm"], ["llm", "corpus_pipeline.py"]])
+def test_without_llm(tmp_path, gone):
+    """Imports and the study's queries need neither the training-data folders nor the pipeline."""
     import shutil
 
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) >= 60 and not any(n.startswith('op') or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
     assert subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True).returncode == 0
 
