@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelab.functions import phonemes as P
@@ -121,14 +121,26 @@ symbol AS (SELECT event_id AS e, event_id % 97 AS k FROM events)""",
 ) + "\n"
 
 
+#: Lines of a derived file that stand in one row.
+PART_LINES = 10_000
+
+
 # --- sources and dimensions ------------------------------------------------------------------------
 
 
+def _joined(order: str) -> Column:
+    """The lines of a part as one text, in their order."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n")
+
+
 def _log_files(fx: X.Fixtures) -> DataFrame:
-    """The trial logs as whole files."""
-    name = F.format_string("responses/rawdata/pp%02d_gate%d", "pp_id", "gate")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
-    return fx.all_lines().groupBy(name.alias("path")).agg(body.alias("value"))
+    """The trial logs, in parts of at most PART_LINES lines of one log."""
+    key = ["pp_id", "gate", "part"]
+    lines = fx.all_lines().withColumn("part", F.expr(f"line_no div {PART_LINES}"))
+    ahead = Window.partitionBy("pp_id", "gate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    before = lines.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("lines_before"))
+    parts = lines.groupBy(*key).agg(_joined("line_no").alias("value")).join(before, key)
+    return parts.select(F.format_string("responses/rawdata/pp%02d_gate%d", "pp_id", "gate").alias("path"), "value", "lines_before")
 
 
 @query("SELECT pp_id, gate, r AS line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY pp_id, gate ORDER BY line_no) AS r FROM all_lines) t WHERE line <> ''")
@@ -142,11 +154,9 @@ def scan_gate_timestamps(spark, sf_dir):
 
 
 def _stamp_file(fx: X.Fixtures) -> DataFrame:
-    """The timestamp file, in parts of a hundred labels."""
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n")
-    # a key's lines stay in one part, in their order
-    part = F.substring_index("line", ".wav,", 1)
-    return fx.timestamp_lines().groupBy(F.pmod(F.xxhash64(part), F.lit(64)).alias("path")).agg(body.alias("value")).select(F.col("path").cast("string"), "value")
+    """The timestamp file, in parts of at most PART_LINES lines; numbers of lines leave gaps."""
+    parts = fx.timestamp_lines().groupBy(F.expr(f"seq div {PART_LINES}").alias("part")).agg(_joined("seq").alias("value"))
+    return parts.select(F.lit("timestamps.csv").alias("path"), "value", (F.col("part") * PART_LINES).alias("lines_before"))
 
 
 def _label_files(fx: X.Fixtures) -> DataFrame:
@@ -264,12 +274,12 @@ def drop_empty_lines(spark, sf_dir):
 
 @query(f"SELECT * FROM trial WHERE pp_id IN ({_LISTENERS})")
 def filter_participants(spark, sf_dir):
-    return T.filter_participants(_trials(spark, sf_dir))
+    return T.parse_trials(T.filter_participants(_raw(spark, sf_dir)))  # by key before lines are parsed
 
 
 @query("SELECT * FROM trial WHERE gate = 3")
 def select_gate(spark, sf_dir):
-    return T.select_gate(_trials(spark, sf_dir), 3)
+    return T.parse_trials(T.select_gate(_raw(spark, sf_dir), 3))  # by key before lines are parsed
 
 
 @query("SELECT * FROM confusion WHERE position = 2")
@@ -603,7 +613,11 @@ def code_coverage(spark, sf_dir):
 
 
 def _target(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-export-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-export-")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 

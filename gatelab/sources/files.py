@@ -18,9 +18,10 @@ def read_whole(spark: SparkSession, paths: str | list[str], glob: str | None = N
 
 
 def lines_of(files: DataFrame) -> DataFrame:
-    """path, line_no (from 1), line."""
-    rows = files.select("path", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "line"))
-    return rows.select("path", (F.col("pos") + 1).cast("long").alias("line_no"), "line")
+    """path, line_no (from 1), line.  A large file may come in parts, with how many lines stand before each in `lines_before`."""
+    before = F.col("lines_before") if "lines_before" in files.columns else F.lit(0)
+    rows = files.select("path", before.alias("before"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "line"))
+    return rows.select("path", (F.col("before") + F.col("pos") + 1).cast("long").alias("line_no"), "line")
 
 
 def parse_trial_logs(files: DataFrame) -> DataFrame:
