@@ -62,3 +62,21 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     rows = corpus_pipeline.run(spark, sf_dir).collect()
     assert len(rows) > 300 and all(r.n_pieces == len(r.pieces or []) for r in rows)
+
+
+def test_nulls_repeated_rows_and_empty_tables(spark):
+    sf = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(None, text, "en", "x", 1), (None, "only here once", None, None, None), (7, None, "en", "x", 0), (8, "", "en", "x", 0), (9, text, "en", "y", 2), (9, text, "en", "y", 2), (10, "long " * 50_000, "en", "z", 3)]
+    docs = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select(*[docs[f.name].cast(f.dataType) for f in schema])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+    ids = lambda df: sorted(str(r.doc_id) for r in df.collect())
+    kept = dict(corpus_pipeline.STAGES)
+    assert ids(kept["lines"](spark, docs, sf)) == ["10", "7", "8", "9", "9", "None", "None"]
+    assert ids(kept["near_copies"](spark, docs, sf)) == ["10", "7", "9", "None"]
+    assert ids(kept["decontaminate"](spark, docs, sf)) == ["10", "7", "8", "9", "9", "None", "None"]
+    pieces = {str(r.doc_id): r for r in kept["pieces"](spark, docs, sf).collect()}
+    assert pieces["7"].pieces is None and pieces["8"].pieces == [] and pieces["10"].n_pieces > 1000
