@@ -6,8 +6,8 @@ id, then a hash of the text, then line number).
 
 Signatures are made of the shingles that are compared, those of 5 characters.  To spare
 work, a line with many of them is signed by those that start with one of a few characters,
-a line with few such by all; a line between the two by both, so that similar lines have a
-kind in common.  The kind goes by the sets, not by lengths.  The hashes of a set lie on a
+a line with few such by those of more characters, or by all; a line between two kinds by
+both, so that similar lines have a kind in common.  The kind goes by the sets, not by lengths.  The hashes of a set lie on a
 circle; the first hash at or after a fixed point is one MinHash value, and BANDS bands of
 ROWS values each use points far from one another.  Two lines of Jaccard similarity 0.8 meet
 in a band with a probability of some 0.95, more above (tests/llm measures it).
@@ -38,9 +38,9 @@ from gatelab.llm.runtime import drop_scratch, write_scratch
 SHINGLE = 5
 BANDS, ROWS = 14, 6
 POINTS = 128  # a power of two
-#: Signatures take the shingles that start with one of these, of long lines.
-SAMPLED = "adgilptu048"
-#: With this many sampled shingles or more a line is signed by them, with that many or fewer by all its shingles, in between by both.
+#: Signatures take the shingles that start with one of these, of long and of middling lines.
+SAMPLED = ("adgu04", "adgilptu048")
+#: A line with this many sampled shingles or more is signed by them; one with that many or fewer (also) by the next kind, the last being all its shingles.
 FEW = (40, 54)
 
 #: Lines of a band that meet the others in each round after the first, as expected; the last round takes all that are left.
@@ -85,20 +85,27 @@ def _circle(lines: DataFrame, name: str) -> DataFrame:
 
 
 def _bands(at: str, kind: int) -> Column:
+    """The hashes of ROWS values for each band, places in plain literals so that they compile."""
     step = POINTS // ROWS
-    hashes = lambda j: F.xxhash64(F.lit(kind), j, *[F.get(at, F.lit(r * step) + F.pmod(j * (r + 1), F.lit(BANDS))) for r in range(ROWS)])
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), hashes)
+    return F.array(*[F.xxhash64(F.lit(kind), F.lit(j), *[F.get(at, F.lit(r * step + j * (r + 1) % BANDS)) for r in range(ROWS)]) for j in range(BANDS)])
 
 
 def _signed(lines: DataFrame) -> DataFrame:
     """doc, th, pos, k1, k2, bands."""
-    some = _hashes(F.regexp_extract_all("norm", F.lit(f"(?s)(?=([{SAMPLED}].{{{SHINGLE - 1}}}))"), 1))
-    lines = lines.withColumn("some", F.sort_array(some)).withColumn("n", F.size("some"))
-    lines = lines.withColumn("all", F.when(F.col("n") <= FEW[1], F.sort_array(_shingle_hashes(F.col("norm")))))
-    lines = lines.withColumn("some", F.when(F.col("n") >= FEW[0], F.col("some"))).drop("norm", "n")
-    lines = _circle(_circle(lines, "some"), "all")
+    wanted, kinds = F.lit(True), []
+    for kind, first in enumerate(SAMPLED):
+        name = f"s{kind}"
+        hashes = _hashes(F.regexp_extract_all("norm", F.lit(f"(?s)(?=([{first}].{{{SHINGLE - 1}}}))"), 1))
+        lines = lines.withColumn(name, F.when(wanted, hashes))
+        wanted = wanted & (F.size(name) <= FEW[1])
+        kinds.append((name, F.when(F.size(name) >= FEW[0], F.sort_array(name))))
+    lines = lines.withColumn("all", F.when(wanted, F.sort_array(_shingle_hashes(F.col("norm")))))
+    lines = lines.select("doc", "th", "pos", "k1", "k2", *[c.alias(name) for name, c in kinds], "all")
+    names = [*(name for name, _ in kinds), "all"]
+    for name in names:
+        lines = _circle(lines, name)
     none = F.array().cast("array<bigint>")
-    bands = F.concat(*[F.when(F.col(at).isNull(), none).otherwise(_bands(at, kind)) for kind, at in enumerate(("some", "all"))])
+    bands = F.concat(*[F.when(F.col(name).isNull(), none).otherwise(_bands(name, kind)) for kind, name in enumerate(names)])
     return lines.select("doc", "th", "pos", "k1", "k2", bands.alias("bands"))
 
 
@@ -143,9 +150,10 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(several, "band", "left_semi").select("band", "id", "c", F.pmod(F.xxhash64("id", "band"), F.col("m")).alias("u"))
 
 
-def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """docs: __doc, __text.  The distinct lines, and node, component for those that have links."""
-    distinct = _distinct(_signed(_lines(docs)))
+def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """docs: __doc, __text.  All signed lines, the distinct ones, and node, component for those that have links."""
+    signed = write_scratch(_signed(_lines(docs)), "signed-lines")
+    distinct = _distinct(signed)
     members = _members(distinct)
     pairs = write_scratch(members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
     texts = _texts(docs, distinct, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -176,21 +184,20 @@ def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
             found = now
         drop_scratch(more)
     drop_scratch(members, texts, *tested)
-    return distinct, found
+    return signed, distinct, found
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with __n_lines, __n_removed and the text without the lines removed."""
     base = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
-    distinct, found = line_components(base, threshold)
+    signed, distinct, found = line_components(base, threshold)
     rows = distinct.select("id", "k1", "k2", "first", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.where("n > 1 or component is not null").withColumn("c", F.coalesce("component", "id"))
     keeper = rows.groupBy("c").agg(F.min("first").alias("keep"))
     affected = rows.join(keeper, "c").select("k1", "k2", "keep")
-    places = _lines(base).select("doc", "th", "pos", "k1", "k2")
-    gone = places.join(affected, ["k1", "k2"]).where("doc <> keep.doc or th <> keep.th or pos <> keep.pos")
+    gone = signed.select("doc", "th", "pos", "k1", "k2").join(affected, ["k1", "k2"]).where("doc <> keep.doc or th <> keep.th or pos <> keep.pos")
     gone = write_scratch(gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "removed-lines")
-    drop_scratch(distinct, found)
+    drop_scratch(signed, distinct, found)
 
     names = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
