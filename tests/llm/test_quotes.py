@@ -1,5 +1,9 @@
 """Quotation linking (1) on written cases and against its SQL."""
 
+import os
+import random
+import textwrap
+
 import duckdb
 import pytest
 
@@ -67,3 +71,63 @@ def test_sql_agrees(found, tmp_path):
 
 def test_empty(spark):
     assert quotes.link_quotes(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def linked(spark, rows):
+    out = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    return {(r.conv_id, r.turn): r for r in out}
+
+
+LONG = "The committee will meet on the second Tuesday of every month in the large room. Bring the figures of the last quarter with you! Nobody knows yet who takes the minutes"
+
+
+def test_passages_link_however_they_are_wrapped(spark):
+    wrap = lambda s, n, mark: "\n".join(mark + x for x in textwrap.wrap(s, n))
+    rows = [
+        (1, 0, "a", "Thanks"),
+        (1, 1, "b", "\n".join(textwrap.wrap(LONG, 70)) + "\n\nThanks"),
+        (1, 2, "c", wrap(LONG, 33, "> ") + "\n>\n> Thanks\nwhole, wrapped anew"),
+        (1, 3, "d", wrap("Bring the figures of the last quarter with you!", 20, ">> ") + "\n> whole, wrapped anew\none sentence"),
+        (1, 4, "e", wrap(LONG, 40, "> > > ") + "\nonly deep"),
+        (1, 5, "f", "> of the last quarter with\na torn sentence"),
+    ]
+    by = linked(spark, rows)
+    assert {k[1]: r.parent_turn for k, r in by.items()} == {0: None, 1: None, 2: 1, 3: 2, 4: 1, 5: None}
+    assert (by[1, 3].root_turn, by[1, 3].depth, by[1, 3].max_level, by[1, 3].body) == (1, 2, 2, "one sentence")
+
+
+def test_very_long_text(spark):
+    body = "\n".join(f"line {k} of a very long message. It goes on" for k in range(20000))
+    by = linked(spark, [(1, 0, "a", body), (1, 1, "b", "\n".join("> " + x for x in body.split("\n")) + "\nyes")])
+    assert by[1, 1].parent_turn == 0 and by[1, 1].n_quoted == 20000 and by[1, 1].body == "yes"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the test tables")
+def test_mail_made_of_conversations(spark, tmp_path):
+    """Each turn answers an earlier one, which it quotes wrapped anew, with that one's own quote a level deeper."""
+    con = duckdb.connect()
+    turns = con.execute("SELECT DISTINCT ON (conv_id, turn) conv_id, turn, role, text FROM '/root/testdata/sf0.01/conversations.parquet' WHERE conv_id IS NOT NULL AND turn IS NOT NULL AND text IS NOT NULL ORDER BY conv_id, turn, text").fetchall()
+    rng, mails, asked = random.Random(3), {}, {}
+    for conv, turn, role, text in turns:
+        own = f"{' '.join(text.split()).replace('>', ' ')} number {turn} of {conv}"
+        earlier = [t for c, t in mails if c == conv]
+        quote, answered = [], None
+        if earlier and rng.random() < 0.8:
+            answered = rng.choice(earlier)
+            deep = mails[conv, asked[conv, answered]][1] if asked[conv, answered] is not None else None
+            for level, s in ((2, deep), (1, mails[conv, answered][1])):
+                quote += [("> " * level) + x for x in textwrap.wrap(s, rng.randint(30, 90), break_on_hyphens=False, break_long_words=False)] if s else []
+            quote.insert(0, "Somebody wrote:")
+        asked[conv, turn] = answered
+        mails[conv, turn] = (role, own, "\n".join([*quote, *textwrap.wrap(own, 76, break_on_hyphens=False, break_long_words=False)]))
+    rows = [(c, t, role, text) for (c, t), (role, _, text) in mails.items()]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = quotes.link_quotes(df).collect()
+    assert sum(a is not None for a in asked.values()) > 100
+    right = sum(r.parent_turn == asked[r.conv_id, r.turn] for r in found)
+    assert len(found) == len(rows) and right >= 0.98 * len(rows)
+    df.write.parquet(f"{tmp_path}/c.parquet")
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c.parquet/*.parquet'")
+    got = con.execute(quotes.SQL)
+    names = [c[0] for c in got.description]
+    assert sorted((tuple(r[c] for c in names) for r in found), key=str) == sorted((tuple(r) for r in got.fetchall()), key=str)
