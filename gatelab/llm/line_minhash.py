@@ -10,7 +10,7 @@ a line with few such by those of more characters, or by all; a line between two
 both, so that similar lines have a kind in common.  The kind goes by the sets, not by lengths.  The hashes of a set lie on a
 circle; the first hash at or after a fixed point is one MinHash value, and BANDS bands of
 ROWS values each use points far from one another.  Two lines of Jaccard similarity 0.8 meet
-in a band with a probability of some 0.95, more above (tests/llm measures it).
+in a band with a probability of some 0.98, more above (tests/llm measures it).
 
 Candidates are verified exactly: Jaccard similarity of the sets of all 5-character
 shingles (by 64-bit hashes).  In a band each line is first verified against the band's
@@ -36,8 +36,8 @@ from gatelab.llm.components import connected_components
 from gatelab.llm.runtime import drop_scratch, write_scratch
 
 SHINGLE = 5
-BANDS, ROWS = 14, 6
-POINTS = 128  # a power of two
+BANDS, ROWS = 11, 5  # a prime number of bands, so that none share a point
+POINTS = 64  # a power of two, BANDS * ROWS or more
 #: Signatures take the shingles that start with one of these, of long and of middling lines.
 SAMPLED = ("adgu04", "adgilptu048")
 #: A line with this many sampled shingles or more is signed by them; one with that many or fewer (also) by the next kind, the last being all its shingles.
@@ -46,7 +46,7 @@ FEW = (40, 54)
 #: Lines of a band that meet the others in each round after the first, as expected; the last round takes all that are left.
 ROUNDS = (2, 16, 128)
 
-#: Lines of candidate pairs are looked up by a broadcast of their places up to this many (about 60 MB), else by a shuffle.
+#: Lines of candidate pairs, and bands that hold several lines, are looked up by a broadcast up to this many (about 60 MB), else by a shuffle.
 BROADCAST_LINES = 500_000
 
 
@@ -120,8 +120,12 @@ def _members(distinct: DataFrame) -> DataFrame:
     rows = distinct.select("id", "n", F.explode("bands").alias("band"))
     # count and id in one number, for a grouped maximum of fixed width
     order = F.shiftleft(F.least("n", F.lit(255)), 55) - F.col("id")
-    hubs = rows.groupBy("band").agg(F.max(order).alias("top"), F.count("*").alias("m")).where("m > 1")
-    return write_scratch(rows.join(hubs, "band").select("band", "id", F.pmod(-F.col("top"), F.lit(1 << 55)).alias("hub"), "m"), "band-members")
+    hubs = write_scratch(rows.groupBy("band").agg(F.max(order).alias("top"), F.count("*").alias("m")).where("m > 1"), "hubs")
+    few = hubs.count() <= BROADCAST_LINES
+    members = rows.join(F.broadcast(hubs) if few else hubs, "band").select("band", "id", F.pmod(-F.col("top"), F.lit(1 << 55)).alias("hub"), "m")
+    members = write_scratch(members, "band-members")
+    drop_scratch(hubs)
+    return members
 
 
 def _texts(docs: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
@@ -150,10 +154,9 @@ def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(several, "band", "left_semi").select("band", "id", "c", F.pmod(F.xxhash64("id", "band"), F.col("m")).alias("u"))
 
 
-def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """docs: __doc, __text.  All signed lines, the distinct ones, and node, component for those that have links."""
-    signed = write_scratch(_signed(_lines(docs)), "signed-lines")
-    distinct = _distinct(signed)
+def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """docs: __doc, __text.  The distinct lines, and node, component for those that have links."""
+    distinct = _distinct(_signed(_lines(docs)))
     members = _members(distinct)
     pairs = write_scratch(members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
     texts = _texts(docs, distinct, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
@@ -184,20 +187,21 @@ def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
             found = now
         drop_scratch(more)
     drop_scratch(members, texts, *tested)
-    return signed, distinct, found
+    return distinct, found
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with __n_lines, __n_removed and the text without the lines removed."""
     base = docs.select(F.col(id_col).cast("long").alias("__doc"), F.col(text_col).alias("__text"))
-    signed, distinct, found = line_components(base, threshold)
+    distinct, found = line_components(base, threshold)
     rows = distinct.select("id", "k1", "k2", "first", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
     rows = rows.where("n > 1 or component is not null").withColumn("c", F.coalesce("component", "id"))
     keeper = rows.groupBy("c").agg(F.min("first").alias("keep"))
     affected = rows.join(keeper, "c").select("k1", "k2", "keep")
-    gone = signed.select("doc", "th", "pos", "k1", "k2").join(affected, ["k1", "k2"]).where("doc <> keep.doc or th <> keep.th or pos <> keep.pos")
+    places = _lines(base).select("doc", "th", "pos", "k1", "k2")
+    gone = places.join(affected, ["k1", "k2"]).where("doc <> keep.doc or th <> keep.th or pos <> keep.pos")
     gone = write_scratch(gone.groupBy("doc", "th").agg(F.sort_array(F.collect_set("pos")).alias("gone")), "removed-lines")
-    drop_scratch(signed, distinct, found)
+    drop_scratch(distinct, found)
 
     names = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
