@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelab.llm import anchors, bktree, lattice, line_minhash, minimax, phrase_index, pivots, prefix_counts, quotes, resample
+from gatelab.llm import anchors, bktree, lattice, line_minhash, merkle, minimax, phrase_index, pivots, prefix_counts, quotes, resample
 from gatelab.llm.runtime import read_parquet
 
 
@@ -58,6 +58,15 @@ def op10_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", bktree.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    tree = merkle.manifest(read_parquet(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], {"text": F.translate("text", _UPPER, _LOWER)}, tampered)
+    return tree.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,11 +80,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_minimax_sharding,
         op9_line_minhash,
         op10_simhash_components,
+        op11_merkle_manifest,
     )
 }
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
 ORACLE_SQL: dict[str, str] = {
     "op1_quotation_linking": quotes.SQL,
     "op3_pivot_top_k": """
@@ -131,5 +139,46 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
+""",
+    "op11_merkle_manifest": r"""
+WITH RECURSIVE bits AS (
+  SELECT [list_reduce([CAST(k AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) for k in range(0, 256)] AS t
+), d AS (
+  SELECT doc_id, source, concat(coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+      coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head, text,
+    xor(4294967295, list_reduce(list_concat([4294967295], [CAST(ascii(c) AS BIGINT) for c in string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) AS crc
+  FROM documents, bits
+), e AS (
+  SELECT doc_id, source, sha256(concat(head, coalesce(strlen(text) || ':' || text, '-'))) AS leaf,
+    CASE WHEN crc % 5 = 0 THEN sha256(concat(head, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-'))) END AS changed
+  FROM d
+), ranked AS (
+  SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx FROM e
+), up AS (
+  SELECT tree, 0 AS level, list(leaf ORDER BY idx) AS h FROM ranked GROUP BY tree
+  UNION ALL
+  SELECT tree, level + 1, [sha256(array_to_string(h[16 * i + 1 : 16 * i + 16], '')) for i in range(0, (len(h) + 15) // 16)] FROM up WHERE len(h) > 1
+), sub AS (
+  SELECT tree, h[1] AS subroot, level AS top FROM up WHERE len(h) = 1
+), over AS (
+  SELECT 0 AS level, list(subroot ORDER BY tree) AS h FROM sub HAVING count(*) > 0
+  UNION ALL
+  SELECT level + 1, [sha256(array_to_string(h[16 * i + 1 : 16 * i + 16], '')) for i in range(0, (len(h) + 15) // 16)] FROM over WHERE len(h) > 1
+), levels AS (
+  SELECT tree, level, h FROM up WHERE len(h) > 1
+  UNION ALL
+  SELECT tree, top + over.level, over.h FROM sub, over WHERE len(over.h) > 1
+), fold AS (
+  SELECT r.tree, r.idx, 0 AS level, CASE WHEN s.top = 0 THEN r.tree ELSE r.idx END AS i, coalesce(changed, leaf) AS x, '' AS beside FROM ranked r JOIN sub s USING (tree)
+  UNION ALL
+  SELECT f.tree, f.idx, f.level + 1, CASE WHEN f.level + 1 = s.top THEN f.tree ELSE f.i // 16 END,
+    sha256(concat(array_to_string(h[f.i - f.i % 16 + 1 : f.i], ''), x, array_to_string(h[f.i + 2 : f.i - f.i % 16 + 16], ''))),
+    concat(beside, array_to_string(h[f.i - f.i % 16 + 1 : f.i], ''), array_to_string(h[f.i + 2 : f.i - f.i % 16 + 16], ''))
+  FROM fold f JOIN sub s ON s.tree = f.tree JOIN levels l ON l.tree = f.tree AND l.level = f.level
+), done AS (
+  SELECT tree, idx, arg_max(x, level) AS folded_root, arg_max(beside, level) AS beside FROM fold GROUP BY tree, idx
+)
+SELECT r.doc_id, r.leaf, s.subroot, o.h[1] AS root, sha256(d.beside) AS proof_sha256, d.folded_root, d.folded_root = o.h[1] AS verified
+FROM ranked r JOIN sub s USING (tree) JOIN done d USING (tree, idx), over o WHERE len(o.h) = 1
 """,
 }
