@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelab.llm import anchors, bktree, lattice, line_minhash, merkle, minimax, phrase_index, pivots, prefix_counts, quotes, resample
+from gatelab.llm import anchors, bktree, lattice, line_minhash, merkle, minimax, phrase_index, pivots, prefix_counts, quotes, resample, vector_codes
 from gatelab.llm.runtime import read_parquet
 
 
@@ -67,6 +67,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.select("doc_id", "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(read_parquet(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest_of(books)).alias("codebooks_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_line_minhash,
         op10_simhash_components,
         op11_merkle_manifest,
+        op12_vector_codes,
     )
 }
 
@@ -180,5 +186,44 @@ WITH RECURSIVE bits AS (
 )
 SELECT r.doc_id, r.leaf, s.subroot, o.h[1] AS root, sha256(d.beside) AS proof_sha256, d.folded_root, d.folded_root = o.h[1] AS verified
 FROM ranked r JOIN sub s USING (tree) JOIN done d USING (tree, idx), over o WHERE len(o.h) = 1
+""",
+    "op12_vector_codes": """
+WITH kept AS (
+  SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS x, row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS n
+  FROM embeddings WHERE embedding IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+), v AS MATERIALIZED (
+  SELECT vec_id, n, part, x[len(x) // 16 * part + 1 : len(x) // 16 * (part + 1)] AS x FROM kept, range(0, 16) p(part)
+), b0 AS (
+  SELECT part, n AS entry, x FROM v WHERE n < 64
+), a0 AS MATERIALIZED (
+  SELECT v.vec_id, v.n, v.part, arg_min(b.entry, (d, b.entry)) AS entry, min(d) AS d
+  FROM v JOIN b0 b ON b.part = v.part, LATERAL (SELECT CAST(list_sum([(v.x[i] - b.x[i]) * (v.x[i] - b.x[i]) for i in range(1, len(v.x) + 1)]) AS BIGINT) AS d) t
+  GROUP BY v.vec_id, v.n, v.part
+), m0 AS (
+  SELECT part, entry, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT a.part, a.entry, i, CAST(sum(v.x[i]) AS BIGINT) AS s, count(*) AS c FROM a0 a JOIN v ON v.n = a.n AND v.part = a.part, LATERAL (SELECT unnest(range(1, len(v.x) + 1)) AS i) u
+    GROUP BY a.part, a.entry, i) t GROUP BY part, entry
+), b1 AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b0 b LEFT JOIN m0 m ON m.part = b.part AND m.entry = b.entry
+), a1 AS MATERIALIZED (
+  SELECT v.vec_id, v.n, v.part, arg_min(b.entry, (d, b.entry)) AS entry, min(d) AS d
+  FROM v JOIN b1 b ON b.part = v.part, LATERAL (SELECT CAST(list_sum([(v.x[i] - b.x[i]) * (v.x[i] - b.x[i]) for i in range(1, len(v.x) + 1)]) AS BIGINT) AS d) t
+  GROUP BY v.vec_id, v.n, v.part
+), m1 AS (
+  SELECT part, entry, list(CAST((s - ((s % c) + c) % c) // c AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT a.part, a.entry, i, CAST(sum(v.x[i]) AS BIGINT) AS s, count(*) AS c FROM a1 a JOIN v ON v.n = a.n AND v.part = a.part, LATERAL (SELECT unnest(range(1, len(v.x) + 1)) AS i) u
+    GROUP BY a.part, a.entry, i) t GROUP BY part, entry
+), b2 AS MATERIALIZED (
+  SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM b1 b LEFT JOIN m1 m ON m.part = b.part AND m.entry = b.entry
+), a2 AS MATERIALIZED (
+  SELECT v.vec_id, v.n, v.part, arg_min(b.entry, (d, b.entry)) AS entry, min(d) AS d
+  FROM v JOIN b2 b ON b.part = v.part, LATERAL (SELECT CAST(list_sum([(v.x[i] - b.x[i]) * (v.x[i] - b.x[i]) for i in range(1, len(v.x) + 1)]) AS BIGINT) AS d) t
+  GROUP BY v.vec_id, v.n, v.part
+), c AS (
+  SELECT n, string_agg(format('{:02x}', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY n
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM kept JOIN c USING (n)
 """,
 }
