@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatelab.llm import anchors, bktree, lattice, line_minhash, merkle, minimax, phrase_index, pivots, prefix_counts, quotes, resample, vector_codes
+from gatelab.llm import anchors, bktree, lattice, line_minhash, merkle, minimax, multiprobe, phrase_index, pivots, prefix_counts, quotes, resample, vector_codes
 from gatelab.llm.runtime import read_parquet
 
 
@@ -72,6 +72,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest_of(books)).alias("codebooks_sha256"))
 
 
+def op13_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multiprobe.nearest(read_parquet(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0, k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -87,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash_components,
         op11_merkle_manifest,
         op12_vector_codes,
+        op13_multiprobe_neighbours,
     )
 }
 
