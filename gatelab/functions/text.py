@@ -1,6 +1,6 @@
-"""Column expressions that the parsers share."""
+"""Column expressions that the parsers share, and tables of literals."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,11 @@ def number(x: Column) -> Column:
 def computed(df: DataFrame) -> DataFrame:
     """The same rows, computed once at this point: later filters and uses don't repeat the expressions of the columns."""
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A small fixed table as SQL values, which need no Python side; columns: name → type."""
+    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    values = ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows)
+    kinds = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in columns.items())
+    return spark.sql(f"SELECT {kinds} FROM VALUES {values} AS t({', '.join(columns)})")

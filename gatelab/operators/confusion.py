@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gatelab.functions.phonemes import dim_axis
+from gatelab.functions.phonemes import AXIS
 from gatelab.sources.files import GATES
 
 
@@ -48,28 +48,47 @@ def long_form(nested: DataFrame) -> DataFrame:
     return rows.select("pp_id", digit(F.col("gate")).alias("gate"), digit(F.col("position")).alias("position"), "gt", "hyp", "n")
 
 
-def axis_spine(spark) -> DataFrame:
-    """All cells of a matrix, 38 * 38."""
-    axis = dim_axis(spark)
-    gt = axis.select(F.col("ipa").alias("gt"), F.col("ord").alias("gt_ord"))
-    return gt.crossJoin(F.broadcast(axis.select(F.col("ipa").alias("hyp"), F.col("ord").alias("hyp_ord"))))
+def _axis(rows: DataFrame, name: str) -> DataFrame:
+    """Every row once for each symbol of the axis, with its ordinal."""
+    return rows.select("*", F.posexplode(F.array(*map(F.lit, AXIS))).alias(f"{name}_ord", name))
+
+
+def axis_spine(spark: SparkSession) -> DataFrame:
+    """All cells of a matrix, 38 * 38, from literals."""
+    return _axis(_axis(spark.range(1), "gt"), "hyp").select("gt", "gt_ord", "hyp", "hyp_ord")
+
+
+def panel_spine(spark: SparkSession) -> DataFrame:
+    """All cells of all gates and positions, from literals."""
+    panels = spark.range(1).select(F.explode(F.array(*map(F.lit, GATES))).alias("gate"))
+    panels = panels.select("gate", F.explode(F.array(F.lit(1), F.lit(2))).alias("position"))
+    return _axis(_axis(panels, "gt"), "hyp")
 
 
 def matrix_grid(confusion: DataFrame, listener: int | None = None, strict: bool = True) -> DataFrame:
     """Dense counts of all gates and positions, of one listener or of all, in one job.  With strict, a symbol that the axis
     lacks raises an error."""
-    spark = confusion.sparkSession
     if listener is not None:
         confusion = confusion.where(F.col("pp_id") == listener)
     counts = confusion.groupBy("gate", "position", "gt", "hyp").agg(F.sum("n").alias("n"))
     if strict:
-        known = F.array(*[F.lit(r.ipa) for r in dim_axis(spark).collect()])
-        off = ~F.array_contains(known, F.col("gt")) | ~F.array_contains(known, F.col("hyp"))
+        off = ~F.col("gt").isin(AXIS) | ~F.col("hyp").isin(AXIS)
         counts = counts.where(F.when(off, F.raise_error(F.concat(F.lit("not on the axis: "), "gt", F.lit(" "), "hyp")).cast("boolean")).otherwise(True))
-    sides = spark.createDataFrame([(g, p) for g in GATES for p in (1, 2)], "gate int, position int")
-    spine = axis_spine(spark).crossJoin(F.broadcast(sides))
     cells = ["gate", "position", "gt", "hyp"]
-    return spine.join(counts, cells, "left").select(*cells[:3], "gt_ord", "hyp", "hyp_ord", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    rows = panel_spine(confusion.sparkSession).join(counts, cells, "left")
+    return rows.select(*cells[:3], "gt_ord", "hyp", "hyp_ord", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def listener_matrices(confusion: DataFrame, published: DataFrame, listener: int | None = None) -> DataFrame:
+    """The matrices of a listener, with the published one (from scan_published_matrices) where the listener has no trial for
+    a gate and position; without a listener the published ones.  `published` says which a cell is from."""
+    theirs = published.select("gate", "position", "gt", "hyp", F.col("n").alias("theirs"))
+    if listener is None:
+        return published.select("gate", "position", "gt", "gt_ord", "hyp", "hyp_ord", "n", F.lit(True).alias("published"))
+    panel = Window.partitionBy("gate", "position")  # 38 * 38 cells
+    rows = matrix_grid(confusion, listener).withColumn("published", F.sum("n").over(panel) == 0)
+    rows = rows.join(theirs, ["gate", "position", "gt", "hyp"], "left")
+    return rows.select("gate", "position", "gt", "gt_ord", "hyp", "hyp_ord", F.when(F.col("published"), F.col("theirs")).otherwise(F.col("n")).alias("n"), "published")
 
 
 def confusion_matrix(confusion: DataFrame, gate: int, position: int, listener: int | None = None) -> DataFrame:

@@ -141,16 +141,46 @@ def label_filenames(labels: DataFrame, original: DataFrame, gated: DataFrame, ro
     return rows.select("label_id", local(F.col("original")).alias("original"), *[local(F.col(f"gate_{g}")).alias(f"gate_{g}") for g in GATES], local(F.col("filename")).alias("label_filename"))
 
 
-def label_info(labels: DataFrame, filenames: DataFrame, timing: DataFrame, found: DataFrame, responses: DataFrame | None = None) -> DataFrame:
-    """The full record of each label.  Responses are there when trials were attached."""
-    stamps = nonzero_timestamp(found).groupBy("label_id").pivot("gate", list(GATES)).agg(F.min("ts"))
-    stamps = stamps.select("label_id", *[F.col(str(g)).alias(f"gate_{g}_timestamp") for g in GATES])
-    rows = label_identity(labels).join(filenames, "label_id", "left").join(label_times(timing), "label_id", "left").join(stamps, "label_id", "left")
-    if responses is not None:
-        rows = rows.join(responses, "label_id", "left")
+def stimulus_files(labels: DataFrame, audio: DataFrame, timestamps: DataFrame) -> DataFrame:
+    """labels with original ('' if missing), gate_1 .. gate_6 (NULL if missing), n_gated and gate_<g>_timestamp (NULL if missing or
+    0): each input is read once.  Files are gathered by stimulus before they meet the labels."""
+    rows = audio.withColumn("filename", F.when(F.col("kind") == "gated", base_name(F.col("path")))).join(timestamps, "filename", "left")
+    of = lambda g: (F.col("kind") == "gated") & (F.col("gate") == g)
+    one = [F.min(F.when(F.col("kind") == "original", F.col("path"))).alias("original")]
+    for g in GATES:
+        one += [F.min(F.when(of(g), F.col("path"))).alias(f"gate_{g}"), F.min_by("ts", F.when(of(g), F.col("path"))).alias(f"t{g}")]
+    wide = rows.groupBy("phoneme_type", "name").agg(*one)
+    rows = labels.join(wide, ["phoneme_type", "name"], "left")
+    n = sum((F.col(f"gate_{g}").isNotNull().cast("long") for g in GATES), F.lit(0).cast("long"))
+    stamps = [F.nullif(F.col(f"t{g}"), F.lit(0.0)).alias(f"gate_{g}_timestamp") for g in GATES]
+    return rows.select(*labels.columns, F.coalesce("original", F.lit("")).alias("original"), *[f"gate_{g}" for g in GATES], n.alias("n_gated"), *stamps)
+
+
+def label_info(labels: DataFrame, audio: DataFrame, timestamps: DataFrame, timing: DataFrame, attached: DataFrame | None = None, root: str = "") -> DataFrame:
+    """The record of each label: identity, files relative to root, times, gate timestamps, n_gated; with trials attached to
+    labels, n_responses.  The responses themselves are parts of label_responses, as a label may have any number of them."""
+    local = lambda c: F.replace(F.col(c), F.lit(root + "/"), F.lit("")) if root else F.col(c)
+    rows = stimulus_files(labels, audio, timestamps)
+    rows = rows.select(
+        "label_id", "phoneme1", "phoneme2", F.concat_ws(" ", "phoneme1", "phoneme2").alias("diphone"), F.concat_ws("_", "phoneme1", "phoneme2", "coding").alias("label_name"),
+        "disc1", "disc2", "phoneme_type", "coding", "coding_name", "prefix", local("original").alias("original"), *[local(f"gate_{g}").alias(f"gate_{g}") for g in GATES],
+        local("filename").alias("label_filename"), *[f"gate_{g}_timestamp" for g in GATES], "n_gated",
+    )
+    rows = rows.join(label_times(timing), "label_id", "left")
+    if attached is not None:
+        answered = attached.where("label_id is not null").groupBy("label_id").agg(F.count("*").alias("n_responses"))
+        rows = rows.join(answered, "label_id", "left").withColumn("n_responses", F.coalesce("n_responses", F.lit(0)))
     return rows
 
 
+def exported_labels(info: DataFrame, least: int = 4) -> DataFrame:
+    """Of the records with enough gated files the last of each name, by file name, then by id.  A grouped maximum of whole
+    records: nothing is joined back."""
+    whole = F.struct(*info.columns)
+    last = info.where(F.col("n_gated") >= least).groupBy("label_name").agg(F.max_by(whole, F.struct("label_filename", "label_id")).alias("last"))
+    return last.select("last.*")
+
+
 def last_wins(labels: DataFrame) -> DataFrame:
     """Of labels of one name the last by filename, then by id."""
     top = F.max(F.struct("filename", "label_id")).alias("top")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelab.functions.phonemes import CODINGS, lookup
@@ -147,8 +147,22 @@ def unmatched_trials(trials: DataFrame, labels: DataFrame) -> DataFrame:
     return _keyed(trials).join(F.broadcast(keys), KEY, "left_anti").withColumnsRenamed({"phoneme1": "gt1", "phoneme2": "gt2"}).select(*trials.columns)
 
 
-def label_responses(attached: DataFrame, labels: DataFrame) -> DataFrame:
-    """Each label with its trials as an array, ordered by listener, gate and line."""
+#: Lines of one log whose trials stay together in a part of a label's responses.
+SLICE = 4096
+
+
+def label_responses(attached: DataFrame, labels: DataFrame, most: int = 10_000) -> DataFrame:
+    """label_id, part, responses: each label's trials in the order of listeners, gates and lines, in parts of about `most`
+    (never more than most + SLICE - 1 for line numbers that don't repeat).  Parts ascend; a label without trials has one
+    empty part.  Trials are counted by slices of logs first, and the counts say which part a slice belongs to, so a label
+    that holds any share of the trials is put together by many tasks."""
+    own = attached.where("label_id is not null").withColumn("slice", F.expr(f"line_no div {SLICE}"))
+    keys = ["label_id", "pp_id", "gate", "slice"]
+    ahead = Window.partitionBy("label_id").orderBy("pp_id", "gate", "slice").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.floor(F.coalesce(F.sum("n").over(ahead), F.lit(0)) / most).alias("part")
+    parts = own.groupBy(*keys).agg(F.count("*").alias("n")).select(*keys, part)
     one = F.struct("pp_id", "gate", "line_no", "gt1", "gt2", "resp1", "resp2")
-    got = attached.where("label_id is not null").groupBy("label_id").agg(F.array_sort(F.collect_list(one)).alias("responses"))
-    return labels.select("label_id").join(got, "label_id", "left").select("label_id", F.coalesce("responses", F.array().cast(got.schema["responses"].dataType)).alias("responses"))
+    got = own.join(parts, keys).groupBy("label_id", "part").agg(F.array_sort(F.collect_list(one)).alias("responses"))
+    empty = F.array().cast(got.schema["responses"].dataType)
+    rows = labels.select("label_id").join(got, "label_id", "left")
+    return rows.select("label_id", F.coalesce("part", F.lit(0)).alias("part"), F.coalesce("responses", empty).alias("responses"))

@@ -1,4 +1,8 @@
-"""The study's inputs, derived from the driver's tables; the same text runs in Spark and in DuckDB."""
+"""The study's inputs, derived from the driver's tables, as views and as files.
+
+The texts of SQL run in Spark and in DuckDB, or state in DuckDB what Spark derives by
+columns: a row of stimuli gives its lines and paths by explode, in one scan.
+"""
 
 from __future__ import annotations
 
@@ -97,10 +101,64 @@ class Fixtures:
         return self._sql(stimuli_sql("div"), part=self.tables["part"])
 
     def label_rows(self) -> DataFrame:
-        return self._sql(label_rows_sql("div"), stimuli=self.stimuli()).select("label_id", F.col("line_no").cast("long").alias("line_no"), (F.col("ms") / F.lit(1000.0)).alias("time"), "label")
+        k, b = F.col("label_id"), F.lit(50) + F.col("label_id") % 7
+        rows = [
+            (0, F.lit(0), "utt", None), (1, b, "b", k % 31 != 0), (2, b + 100, "m", None), (3, b + 110, "m", k % 29 == 0),
+            (4, b + 120, "1", k % 3 == 0), (5, b + 130, "2", k % 3 == 1), (6, b + 250, "e", None), (7, b + 400, "utt", None),
+        ]
+        cells = [F.struct(F.lit(n).cast("long").alias("line_no"), (ms / F.lit(1000.0)).alias("time"), F.lit(label).alias("label"), (F.lit(True) if when is None else when).alias("there")) for n, ms, label, when in rows]
+        out = self.stimuli().select("label_id", F.inline(F.array(*cells)))
+        return out.where("there").select("label_id", "line_no", "time", "label")
 
     def timestamp_lines(self) -> DataFrame:
-        return self._sql(timestamp_lines_sql("div"), stimuli=self.stimuli())
+        """seq, line: a header, a line for each gated file, repeated keys and lines of three fields among them."""
+        k, n = F.col("label_id"), F.col("n_gates")
+        seconds = lambda ms: F.format_string("%d.%03d", F.floor(ms / 1000), ms % 1000)
+        line = lambda g, ms: F.concat("stem", F.lit(f"{g}.wav,"), seconds(ms))
+        rows = [(g, line(g, F.when((k % 13 == 0) & (g == 1), F.lit(0)).otherwise(k % 50 + 100 * g)), n >= g) for g in range(1, 7)]
+        rows += [(9, line(1, k % 50 + 500), (k % 17 == 0) & (n > 0)), (8, F.concat("stem", F.lit("1.wav,1,2")), k % 19 == 0)]
+        cells = F.array(*[F.struct((k * 10 + at).alias("seq"), text.alias("line"), there.alias("there")) for at, text, there in rows])
+        lines = self.stimuli().select(F.inline(cells)).where("there").select("seq", "line")
+        return self.spark.sql("SELECT CAST(0 AS BIGINT) AS seq, 'filename,seconds' AS line").union(lines)
 
     def audio_paths(self) -> DataFrame:
-        return self._sql(audio_paths_sql(), stimuli=self.stimuli())
+        folder = lambda kind: F.concat(F.lit(kind + "/"), "phoneme_type", F.lit("/"), "stem")
+        gates = F.transform(F.expr("sequence(1, 6)"), lambda g: F.when(F.col("n_gates") >= g, F.concat(folder("gated"), g.cast("string"), F.lit(".wav"))))
+        whole = F.when(F.col("label_id") % 23 != 0, F.concat(folder("original"), F.lit(".wav")))
+        return self.stimuli().select(F.explode(F.array_append(gates, whole)).alias("path")).where("path is not null").distinct()
+
+
+# --- as files, under a folder that all executors share -------------------------------------------
+
+
+def write_logs(lines: DataFrame, root: str) -> str:
+    """Trial logs as folders log=pp<NN>_gate<G> of parts in order; a log of any length is written by as many tasks as it needs."""
+    rows = lines.select(F.format_string("pp%02d_gate%d", "pp_id", "gate").alias("log"), "line_no", "line")
+    rows = rows.repartitionByRange("log", "line_no").sortWithinPartitions("log", "line_no")
+    rows.select("log", "line").write.partitionBy("log").text(root)
+    return root
+
+
+def write_lines(lines: DataFrame, order: str, path: str) -> str:
+    """One file of lines, as a folder of parts in order."""
+    lines.repartitionByRange(order).sortWithinPartitions(order).select("line").write.text(path)
+    return path
+
+
+def label_files(rows: DataFrame) -> DataFrame:
+    """path, value: what label files hold, with spaces, line ends of both kinds, and here and there a broken line."""
+    line = F.concat_ws(" ", F.format_string("  %.3f", "time"), F.lit("121"), "label")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))), lambda x: x["line"]), "\r\n")
+    rows = rows.groupBy("label_id").agg(body.alias("value"))  # eight lines at most
+    text = F.concat(F.lit("signal x\ntype 0\n#\n"), "value", F.lit("\n"), F.when(F.col("label_id") % 37 == 0, F.lit("broken line\n")).otherwise(F.lit("\n")))
+    return rows.select(F.concat(F.lit("labels/any/"), "label_id", F.lit(".sd.lab")).alias("path"), text.alias("value"))
+
+
+def matrix_files(grid: DataFrame) -> DataFrame:
+    """path, value: a grid as the published files, 12 of 38 rows and columns; the last symbol is spelled '-'."""
+    disc = VOWELS + CONSONANTS[:-1] + ["-"]
+    rows = grid.groupBy("position", "gate", "gt_ord").agg(F.array_sort(F.collect_list(F.struct("hyp_ord", "n"))).alias("x"))
+    line = F.concat_ws("  ", F.get(F.array(*map(F.lit, disc)), F.col("gt_ord")), F.transform("x", lambda c: c["n"].cast("string")))
+    rows = rows.groupBy("position", "gate").agg(F.array_sort(F.collect_list(F.struct("gt_ord", line.alias("line")))).alias("rows"))
+    body = F.concat(F.lit(" " + " ".join(disc) + "\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
+    return rows.select(F.format_string("phon%d_conf_matrix_gate%d.dat", "position", "gate").alias("path"), body.alias("value"))

@@ -7,10 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatelab.functions import phonemes as P
+from gatelab.functions.text import base_name, literal_table, stem
 from gatelab.operators import confusion as C
 from gatelab.operators import labels as L
 from gatelab.operators import trials as T
@@ -121,78 +122,78 @@ symbol AS (SELECT event_id AS e, event_id % 97 AS k FROM events)""",
 ) + "\n"
 
 
-#: Lines of a derived file that stand in one row.
-PART_LINES = 10_000
+# --- sources and dimensions: the readers on files that Spark has written ------------------------------
 
 
-# --- sources and dimensions ------------------------------------------------------------------------
-
-
-def _joined(order: str) -> Column:
-    """The lines of a part as one text, in their order."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "line"))), lambda x: x["line"]), "\n")
-
-
-def _log_files(fx: X.Fixtures) -> DataFrame:
-    """The trial logs, in parts of at most PART_LINES lines of one log."""
-    key = ["pp_id", "gate", "part"]
-    lines = fx.all_lines().withColumn("part", F.expr(f"line_no div {PART_LINES}"))
-    ahead = Window.partitionBy("pp_id", "gate").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = lines.groupBy(*key).agg(F.count("*").alias("n")).select(*key, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("lines_before"))
-    parts = lines.groupBy(*key).agg(_joined("line_no").alias("value")).join(before, key)
-    return parts.select(F.format_string("responses/rawdata/pp%02d_gate%d", "pp_id", "gate").alias("path"), "value", "lines_before")
+def _target(spark: SparkSession, name: str) -> str:
+    """A new name in the folder that all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="spark-export-")
+    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 
 @query("SELECT pp_id, gate, r AS line_no, line FROM (SELECT *, row_number() OVER (PARTITION BY pp_id, gate ORDER BY line_no) AS r FROM all_lines) t WHERE line <> ''")
 def scan_trial_logs(spark, sf_dir):
-    return S.parse_trial_logs(_log_files(X.Fixtures(spark, sf_dir)))
+    root = X.write_logs(X.Fixtures(spark, sf_dir).all_lines(), _target(spark, "logs"))
+    return S.scan_trial_logs(spark, root, range(1, 22), strict=False)
 
 
-@query("SELECT * FROM stamp")
-def scan_gate_timestamps(spark, sf_dir):
-    return S.parse_gate_timestamps(_stamp_file(X.Fixtures(spark, sf_dir)))
+def _timestamps(spark, sf_dir) -> DataFrame:
+    return S.scan_gate_timestamps(spark, X.write_lines(X.Fixtures(spark, sf_dir).timestamp_lines(), "seq", _target(spark, "timestamps.csv")))
 
 
-def _stamp_file(fx: X.Fixtures) -> DataFrame:
-    """The timestamp file, in parts of at most PART_LINES lines; numbers of lines leave gaps."""
-    parts = fx.timestamp_lines().groupBy(F.expr(f"seq div {PART_LINES}").alias("part")).agg(_joined("seq").alias("value"))
-    return parts.select(F.lit("timestamps.csv").alias("path"), "value", (F.col("part") * PART_LINES).alias("lines_before"))
+@query("SELECT * FROM stamp")
+def scan_gate_timestamps(spark, sf_dir):
+    return _timestamps(spark, sf_dir)
 
 
-def _label_files(fx: X.Fixtures) -> DataFrame:
-    line = F.concat_ws(" ", F.format_string("  %.3f", "time"), F.lit("121"), "label")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))), lambda x: x["line"]), "\r\n")
-    rows = fx.label_rows().groupBy("label_id").agg(body.alias("value"))
-    text = F.concat(F.lit("signal x\ntype 0\n#\n"), "value", F.lit("\n"), F.when(F.col("label_id") % 37 == 0, F.lit("broken line\n")).otherwise(F.lit("\n")))
-    return rows.select(F.col("label_id").cast("string").alias("path"), text.alias("value"))
+def _label_lines(spark, sf_dir) -> DataFrame:
+    root = _target(spark, "label-files")
+    sinks.write_files(X.label_files(X.Fixtures(spark, sf_dir).label_rows()), root)
+    return S.scan_label_files(spark, f"{root}/labels").withColumn("path", stem(F.col("path")))
 
 
 @query("""SELECT CAST(label_id AS VARCHAR) AS path, time, CAST(121 AS INTEGER) AS code, label, true AS ok FROM label_line
 UNION ALL SELECT DISTINCT CAST(label_id AS VARCHAR), NULL, NULL, NULL, false FROM label_line WHERE label_id % 37 = 0""")
 def scan_label_files(spark, sf_dir):
-    return S.parse_label_files(_label_files(X.Fixtures(spark, sf_dir))).select("path", "time", "code", "label", "ok")
+    return _label_lines(spark, sf_dir).select("path", "time", "code", "label", "ok")
 
 
 @query("SELECT DISTINCT CAST(label_id AS VARCHAR) AS path, 'broken line' AS line FROM label_line WHERE label_id % 37 = 0")
 def parse_label_lines(spark, sf_dir):
-    return S.parse_label_files(_label_files(X.Fixtures(spark, sf_dir))).where("not ok").select("path", "line")
+    return _label_lines(spark, sf_dir).where("not ok").select("path", "line")
+
+
+def _published(spark, sf_dir) -> DataFrame:
+    root = _target(spark, "matrices")
+    sinks.write_files(X.matrix_files(C.matrix_grid(_confusion(spark, sf_dir))), root)
+    return S.scan_published_matrices(spark, root)
 
 
 @query("SELECT position, gate, gt, gt_ord, hyp, hyp_ord, n FROM grid")
 def scan_confusion_matrix(spark, sf_dir):
-    disc = P.VOWELS + P.CONSONANTS[:-1] + ["-"]
-    rows = C.matrix_grid(_confusion(spark, sf_dir)).groupBy("position", "gate", "gt_ord").agg(F.array_sort(F.collect_list(F.struct("hyp_ord", "n"))).alias("x"))
-    line = F.concat_ws("  ", F.get(F.array(*map(F.lit, disc)), F.col("gt_ord")), F.transform("x", lambda c: c["n"].cast("string")))
-    rows = rows.groupBy("position", "gate").agg(F.array_sort(F.collect_list(F.struct("gt_ord", line.alias("line")))).alias("rows"))
-    body = F.concat(F.lit(" " + " ".join(disc) + "\n"), F.array_join(F.transform("rows", lambda r: r["line"]), "\n"), F.lit("\n"))
-    return S.parse_confusion_matrices(rows.select(F.format_string("phon%d_conf_matrix_gate%d.dat", "position", "gate").alias("path"), body.alias("value")))
+    return _published(spark, sf_dir)
+
+
+@query("""SELECT g.gate, g.position, g.gt, g.gt_ord, g.hyp, g.hyp_ord, CASE WHEN h.gate IS NULL THEN g.n ELSE coalesce(o.n, 0) END AS n, h.gate IS NULL AS published FROM grid g
+LEFT JOIN (SELECT DISTINCT gate, position FROM confusion WHERE pp_id = 5 AND gate <= 4) h ON h.gate = g.gate AND h.position = g.position
+LEFT JOIN confusion o ON o.pp_id = 5 AND o.gate <= 4 AND o.gate = g.gate AND o.position = g.position AND o.gt = g.gt AND o.hyp = g.hyp""")
+def listener_matrices(spark, sf_dir):
+    """Listener 5 has done the first four gates; the others are published ones."""
+    own = _confusion(spark, sf_dir).where("pp_id = 5 and gate <= 4")
+    return C.listener_matrices(own, _published(spark, sf_dir), 5)
 
 
 @query("""SELECT path, string_split(path, '/')[1] AS kind, string_split(path, '/')[2] AS phoneme_type,
 CASE WHEN path LIKE 'gated%' THEN regexp_extract(path, '([^/]+)[1-6][.]wav$', 1) ELSE regexp_extract(path, '([^/]+)[.]wav$', 1) END AS name,
 CASE WHEN path LIKE 'gated%' THEN CAST(regexp_extract(path, '([1-6])[.]wav$', 1) AS INTEGER) END AS gate FROM audio""")
 def scan_audio_inventory(spark, sf_dir):
-    return S.parse_audio_paths(X.Fixtures(spark, sf_dir).audio_paths())
+    root = _target(spark, "audio")
+    sinks.write_files(X.Fixtures(spark, sf_dir).audio_paths().select("path", F.lit("RIFF").alias("value")), root)
+    return S.scan_audio_inventory(spark, root).withColumn("path", F.concat_ws("/", "kind", "phoneme_type", base_name(F.col("path"))))
 
 
 _DIM = [(k, P.IPA[k], P.SAMPA[k], P.CELEX[k], P.DISC[k], P.CGN[k] if k < len(P.CGN) else None) for k in range(len(P.IPA))]
@@ -383,7 +384,7 @@ def _gated(spark, sf_dir) -> DataFrame:
 
 
 def _stamped(spark, sf_dir) -> DataFrame:
-    return L.gate_timestamp_lookup(_gated(spark, sf_dir), S.parse_gate_timestamps(_stamp_file(X.Fixtures(spark, sf_dir))))
+    return L.gate_timestamp_lookup(_gated(spark, sf_dir), _timestamps(spark, sf_dir))
 
 
 @query("SELECT * EXCLUDE (n_gates) FROM label")
@@ -438,10 +439,23 @@ def unmatched_trials(spark, sf_dir):
     return T.unmatched_trials(_trials(spark, sf_dir), _labels(spark, sf_dir))
 
 
-@query("SELECT l.label_id, count(a.line_no) AS n, coalesce(string_agg(a.line_no, ',' ORDER BY a.pp_id, a.gate, a.line_no), '') AS line_nos FROM label l LEFT JOIN attached a ON a.label_id = l.label_id GROUP BY l.label_id")
+#: So few that labels of the driver's tables have several parts.
+_PART = 3
+_PARTS = f""", sliced AS (
+  SELECT label_id, pp_id, gate, line_no // {T.SLICE} AS slice, count(*) AS n FROM attached WHERE label_id IS NOT NULL GROUP BY ALL
+), parts AS (
+  SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY label_id ORDER BY pp_id, gate, slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {_PART} AS part FROM sliced
+), answer AS (
+  SELECT a.*, coalesce(p.part, 0) AS part FROM attached a JOIN parts p ON p.label_id = a.label_id AND p.pp_id = a.pp_id AND p.gate = a.gate AND p.slice = a.line_no // {T.SLICE}
+)
+"""
+
+
+@query(_PARTS + """SELECT l.label_id, coalesce(a.part, 0) AS part, count(a.line_no) AS n, coalesce(string_agg(a.line_no, ',' ORDER BY a.pp_id, a.gate, a.line_no), '') AS line_nos
+FROM label l LEFT JOIN answer a ON a.label_id = l.label_id GROUP BY l.label_id, a.part""")
 def label_responses(spark, sf_dir):
-    rows = T.label_responses(_attached(spark, sf_dir), _labels(spark, sf_dir))
-    return rows.select("label_id", F.size("responses").cast("long").alias("n"), F.array_join(F.transform("responses", lambda r: r["line_no"].cast("string")), ",").alias("line_nos"))
+    rows = T.label_responses(_attached(spark, sf_dir), _labels(spark, sf_dir), _PART)
+    return rows.select("label_id", "part", F.size("responses").cast("long").alias("n"), F.array_join(F.transform("responses", lambda r: r["line_no"].cast("string")), ",").alias("line_nos"))
 
 
 @query("SELECT phoneme1 || '_' || phoneme2 || '_' || coding AS label_name, arg_max(label_id, (filename, label_id)) AS label_id, max(filename) AS filename FROM label GROUP BY 1")
@@ -521,8 +535,7 @@ def label_filenames(spark, sf_dir):
 
 
 def _info(spark, sf_dir) -> DataFrame:
-    labels = _labels(spark, sf_dir)
-    return L.label_info(labels, label_filenames(spark, sf_dir), label_timing(spark, sf_dir), _stamped(spark, sf_dir), T.label_responses(_attached(spark, sf_dir), labels))
+    return L.label_info(_labels(spark, sf_dir), _audio(spark, sf_dir), _timestamps(spark, sf_dir), label_timing(spark, sf_dir), _attached(spark, sf_dir))
 
 
 @query(f"""SELECT l.label_id, phoneme1 || ' ' || phoneme2 AS diphone, phoneme1 || '_' || phoneme2 || '_' || coding AS label_name, disc1, disc2, phoneme_type, coding, coding_name, prefix,
@@ -530,7 +543,7 @@ o.original, w.* EXCLUDE (label_id), l.filename AS label_filename, t.* EXCLUDE (l
 FROM label l JOIN original o USING (label_id) JOIN (SELECT label_id, {_WIDE} FROM gated GROUP BY 1) w USING (label_id) LEFT JOIN timing t USING (label_id)
 LEFT JOIN (SELECT label_id, {_STAMPS} FROM stamped GROUP BY 1) s USING (label_id) LEFT JOIN (SELECT label_id, count(*) AS n FROM attached GROUP BY 1) a USING (label_id)""")
 def label_info(spark, sf_dir):
-    return _info(spark, sf_dir).withColumn("n_responses", F.size("responses").cast("long")).drop("responses")
+    return _info(spark, sf_dir).drop("phoneme1", "phoneme2", "n_gated")
 
 
 # --- transcoding: symbols dealt from the codes of an alphabet by event -------------------------------------
@@ -580,8 +593,8 @@ SELECT v.ipa, nl, en, de, a.example AS arpabet FROM (VALUES {', '.join('(' + ',
 LEFT JOIN code_map m ON m.src_set = 'ipa' AND m.dst_set = 'arpabet' AND m.src = v.ipa
 LEFT JOIN (VALUES {', '.join(f'({_q(a)}, {_q(e)})' for a, _, e in P.ARPABET)}) a(code, example) ON a.code = m.dst) x ON x.ipa = t.gt1""")
 def phoneme_examples(spark, sf_dir):
-    words = spark.createDataFrame(_EXAMPLES, "gt1 string, nl string, en string, de string")
-    own = spark.createDataFrame([(a, e) for a, _, e in P.ARPABET], "code string, arpabet string")
+    words = literal_table(spark, _EXAMPLES, dict.fromkeys(("gt1", "nl", "en", "de"), "string"))
+    own = literal_table(spark, [(a, e) for a, _, e in P.ARPABET], {"code": "string", "arpabet": "string"})
     words = P.transcode(words, "gt1", "ipa", "arpabet", "code").join(F.broadcast(own), "code", "left").drop("code")
     return _trials(spark, sf_dir).select("line_no", "gt1").join(F.broadcast(words), "gt1", "left")
 
@@ -612,15 +625,6 @@ def code_coverage(spark, sf_dir):
 # --- sinks ---------------------------------------------------------------------------------------------
 
 
-def _target(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="spark-export-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
 @query("SELECT 'pp' || pp_id AS participant, 'gate' || gate AS gate, 'phoneme' || position AS position, gt, hyp, n FROM confusion")
 def write_confusion_json(spark, sf_dir):
     """Written, and read back as rows."""
@@ -632,10 +636,30 @@ def write_confusion_json(spark, sf_dir):
     return rows.select("participant", "gate", "position", F.explode("m").alias("gt", "m")).select("participant", "gate", "position", "gt", F.explode("m").alias("hyp", "n"))
 
 
-@query("""SELECT phoneme1 || '_' || phoneme2 || '_' || coding AS label_name, arg_max(label_id, (filename, label_id)) AS label_id
-FROM label JOIN n_gated n USING (label_id) WHERE n.n_gated >= 4 GROUP BY 1""")
+_RECORD = [f for f in sinks.LABEL_FIELDS if f != "label_name"] + list(sinks.GATE_FIELDS)
+_LAST = ", ".join(f"CASE WHEN a.part = 0 THEN {f} END AS {f}" for f in _RECORD)
+
+
+@query(_PARTS + f""", last AS (
+  SELECT * FROM (SELECT l.*, row_number() OVER (PARTITION BY phoneme1, phoneme2, coding ORDER BY filename DESC, label_id DESC) AS z FROM label l JOIN n_gated n USING (label_id) WHERE n.n_gated >= 4) t WHERE z = 1
+), record AS (
+  SELECT l.label_id, phoneme1 || '_' || phoneme2 || '_' || coding AS label_name, phoneme1 || ' ' || phoneme2 AS diphone, phoneme1 AS phoneme_1, phoneme2 AS phoneme_2, disc1 AS disc_1, disc2 AS disc_2,
+    phoneme_type, coding, coding_name, prefix, o.original AS original_audio_filename, filename AS label_filename, t.start_time, t.end_time, t.end_time - t.start_time AS duration,
+    t.phoneme1_start_time AS phoneme_1_start_time, t.phoneme1_end_time AS phoneme_1_end_time, t.phoneme2_start_time AS phoneme_2_start_time, t.phoneme2_end_time AS phoneme_2_end_time,
+    {', '.join(f'gate_{g} AS gate_{g}_audio_filename, gate_{g}_timestamp' for g in S.GATES)}
+  FROM last l JOIN original o USING (label_id) JOIN (SELECT label_id, {_WIDE} FROM gated GROUP BY 1) w USING (label_id)
+  LEFT JOIN timing t USING (label_id) LEFT JOIN (SELECT label_id, {_STAMPS} FROM stamped GROUP BY 1) s USING (label_id)
+), given AS (
+  SELECT l.label_id AS id, coalesce(a.part, 0) AS part, coalesce(string_agg(concat_ws(' ', gt1, gt2, resp1, resp2, pp_id, gate), ',' ORDER BY pp_id, gate, line_no), '') AS responses
+  FROM label l LEFT JOIN answer a ON a.label_id = l.label_id GROUP BY l.label_id, a.part
+)
+SELECT label_name, a.part, {_LAST}, a.responses FROM record r JOIN given a ON a.id = r.label_id""")
 def write_label_json(spark, sf_dir):
-    path, labels, gated = _target(spark, "labels"), _labels(spark, sf_dir), _gated(spark, sf_dir)
-    enough = labels.join(L.min_gated_files(gated), "label_id", "left_semi")
-    sinks.write_label_json(_info(spark, sf_dir), labels, L.n_gated_files(gated), L.last_wins(enough), path)
-    return spark.read.schema("label_name string, label_id long").json(path)
+    """Written, and read back: every field of every record."""
+    path, labels = _target(spark, "labels"), _labels(spark, sf_dir)
+    sinks.write_label_json(L.exported_labels(_info(spark, sf_dir)), path, T.label_responses(_attached(spark, sf_dir), labels, _PART))
+    kind = lambda f: "double" if "time" in f or f == "duration" else "long" if f == "label_id" else "string"
+    responses = ", ".join(f"{f}: {'int' if f in ('participant', 'gate') else 'string'}" for f in sinks.RESPONSE_FIELDS)
+    schema = ", ".join(["label_name string", "part long", *[f"{f} {kind(f)}" for f in _RECORD], f"responses array<struct<{responses}>>"])
+    text = F.transform("responses", lambda r: F.concat_ws(" ", *[r[f] for f in sinks.RESPONSE_FIELDS]))
+    return spark.read.schema(schema).json(path).select("label_name", F.coalesce("part", F.lit(0)).alias("part"), *_RECORD, F.array_join(text, ",").alias("responses"))

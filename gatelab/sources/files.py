@@ -1,8 +1,14 @@
-"""Readers of the study's files.  Each reads whole files as rows (path, value), then parses by column expressions."""
+"""Readers of the study's files.
+
+What can grow is read line by line, so that a large file is split and no row holds a file:
+trial logs and gate timestamps.  Such a file may also be a folder of its name that holds
+parts in the order of their names, as Spark writes them; the folder may be named key=name.
+Label files and matrices are a few lines each by their nature, and a row holds one whole.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gatelab.functions.phonemes import lookup
@@ -12,37 +18,72 @@ LISTENERS = [1, 2, 3, 4, 5, 6, 7, 8, 10, 11, 12, 13, 15, 16, 17, 19, 20, 21]
 GATES = range(1, 7)
 
 
-def read_whole(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
-    reader = spark.read.text(paths, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=glob is not None)
-    return reader.select(F.regexp_replace("_metadata.file_path", "^file:/+", "/").alias("path"), "value")
+def plain_path(path: Column) -> Column:
+    """The name of the file: without the scheme of local files, the part of a folder of parts, and keys of folders."""
+    path = F.regexp_replace(path, "^file:/+", "/")
+    path = F.regexp_replace(path, "/part-[^/]*$", "")
+    return F.regexp_replace(path, "(?<=/)[A-Za-z_]+=", "")
+
+
+def _named(names: list[str]) -> str:
+    """A pattern of paths that matches any of the names, as they are or as a folder key=name."""
+    return "{" + ",".join(x for n in names for x in (n, f"*={n}")) + "}"
 
 
-def lines_of(files: DataFrame) -> DataFrame:
-    """path, line_no (from 1), line.  A large file may come in parts, with how many lines stand before each in `lines_before`."""
-    before = F.col("lines_before") if "lines_before" in files.columns else F.lit(0)
-    rows = files.select("path", before.alias("before"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("pos", "line"))
-    return rows.select("path", (F.col("before") + F.col("pos") + 1).cast("long").alias("line_no"), "line")
+# --- lines ---------------------------------------------------------------------------------
 
 
-def parse_trial_logs(files: DataFrame) -> DataFrame:
-    """raw_lines(pp_id, gate, line_no, line) from files named pp<NN>_gate<G>; empty lines are dropped, blank ones stay."""
+def read_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, place, line: the lines of files, in one scan.  Places of one path ascend with its lines: the part, where the split
+    begins in it, and a number that grows within the split."""
+    place = F.struct(F.col("_metadata.file_path").alias("part"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("pos"))
+    return spark.read.text(paths).select(plain_path(F.col("_metadata.file_path")).alias("path"), place.alias("place"), F.col("value").alias("line"))
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """path, line_no (from 1), line from read_lines.  Lines of each split are counted first, a row for each split; a line's
+    number is how many stand in the splits before it, and its distance from the first of its own."""
+    split = ["path", "place.part", "place.start"]
+    ahead = Window.partitionBy("path").orderBy("part", "start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = lines.groupBy(*split).agg(F.min("place.pos").alias("first"), F.count("*").alias("n"))
+    splits = splits.select("path", "part", "start", (F.coalesce(F.sum("n").over(ahead), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    rows = lines.select("path", "place.part", "place.start", "place.pos", "line").join(splits, ["path", "part", "start"])
+    return rows.select("path", (F.col("pos") + F.col("shift")).alias("line_no"), "line")
+
+
+def parse_trial_logs(lines: DataFrame) -> DataFrame:
+    """raw_lines(pp_id, gate, line_no, line) from numbered lines of files named pp<NN>_gate<G>; empty lines are dropped, blank
+    ones stay."""
     part = lambda k: F.regexp_extract(base_name(F.col("path")), "^pp([0-9]+)_gate([0-9])$", k).try_cast("int")
-    return lines_of(files).where("line <> ''").select(part(1).alias("pp_id"), part(2).alias("gate"), "line_no", "line").where("pp_id is not null")
+    return lines.where("line <> ''").select(part(1).alias("pp_id"), part(2).alias("gate"), "line_no", "line").where("pp_id is not null")
 
 
-def scan_trial_logs(spark: SparkSession, root: str, pp_ids=LISTENERS, gates=GATES) -> DataFrame:
-    return parse_trial_logs(read_whole(spark, [f"{root}/pp{p:02d}_gate{g}" for p in pp_ids for g in gates]))
+def scan_trial_logs(spark: SparkSession, root: str, pp_ids=LISTENERS, gates=GATES, strict: bool = True) -> DataFrame:
+    """The logs of listeners and gates.  With strict, a log that isn't there raises an error; else those that are there are read,
+    one at least."""
+    names = [f"pp{p:02d}_gate{g}" for p in pp_ids for g in gates]
+    paths = [f"{root}/{_named([n])}" for n in names] if strict else f"{root}/{_named(names)}"
+    return parse_trial_logs(numbered_lines(read_lines(spark, paths)))
 
 
-def parse_gate_timestamps(files: DataFrame) -> DataFrame:
-    """filename, ts: two-field numeric lines; of equal names the last line counts."""
+def parse_gate_timestamps(lines: DataFrame) -> DataFrame:
+    """filename, ts: two-field numeric lines; of equal names the last line counts, by file and place."""
     cells = F.split("line", ",")
-    rows = lines_of(files).where(F.size(cells) == 2).select("line_no", cells[0].alias("filename"), number(cells[1]).alias("ts"))
-    return rows.where("ts is not null").groupBy("filename").agg(F.max_by("ts", "line_no").alias("ts"))
+    rows = lines.where(F.size(cells) == 2).select(F.struct("path", "place").alias("at"), cells[0].alias("filename"), number(cells[1]).alias("ts"))
+    return rows.where("ts is not null").groupBy("filename").agg(F.max_by("ts", "at").alias("ts"))
+
 
+def scan_gate_timestamps(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return parse_gate_timestamps(read_lines(spark, path))
 
-def scan_gate_timestamps(spark: SparkSession, path: str) -> DataFrame:
-    return parse_gate_timestamps(read_whole(spark, path))
+
+# --- small files, a row each ------------------------------------------------------------------
+
+
+def read_whole(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """path, value: files as rows; with glob, those of such names below a folder."""
+    reader = spark.read.text(paths, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=glob is not None)
+    return reader.select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
 
 
 def parse_label_files(files: DataFrame, strict: bool = False) -> DataFrame:
@@ -65,6 +106,7 @@ def parse_label_files(files: DataFrame, strict: bool = False) -> DataFrame:
 
 
 def scan_label_files(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
+    """The label files <root>/<type>/<name>.lab."""
     return parse_label_files(read_whole(spark, root, "*.lab"), strict)
 
 
@@ -86,6 +128,14 @@ def scan_confusion_matrix(spark: SparkSession, path: str | list[str]) -> DataFra
     return parse_confusion_matrices(read_whole(spark, path))
 
 
+def scan_published_matrices(spark: SparkSession, root: str, gates=GATES, positions=(1, 2)) -> DataFrame:
+    """The published matrices of gates and positions; one that isn't there raises an error."""
+    return scan_confusion_matrix(spark, [f"{root}/phon{p}_conf_matrix_gate{g}.dat" for p in positions for g in gates])
+
+
+# --- existence alone ---------------------------------------------------------------------------
+
+
 def parse_audio_paths(paths: DataFrame) -> DataFrame:
     """path, kind (original or gated), phoneme_type, name, gate from original/<type>/<name>.wav and gated/<type>/<name><gate>.wav."""
     kind = F.regexp_extract("path", "(?:^|/)(original|gated)/[^/]+/[^/]+[.]wav$", 1)
@@ -96,6 +146,6 @@ def parse_audio_paths(paths: DataFrame) -> DataFrame:
 
 
 def scan_audio_inventory(spark: SparkSession, root: str) -> DataFrame:
-    """Which wav files exist; their content isn't read."""
+    """Which wav files exist; their content isn't read.  Spark lists no files without a byte."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(root)
-    return parse_audio_paths(files.select(F.regexp_replace("path", "^file:/+", "/").alias("path")))
+    return parse_audio_paths(files.select(plain_path(F.col("path")).alias("path")))
