@@ -298,19 +298,24 @@ def copy_groups(rows: DataFrame, width: int = 5, threshold: float = 0.8) -> Data
     cross = apart.select("band", F.col("node").alias("a"), F.col("c").alias("ca")).join(others, "band").where("ca <> cb").select(*ordered).distinct()
     more = write_scratch(_alike(cross.join(pairs, ["a", "b"], "left_anti"), texts, width, threshold), "copy-links")
     if more.limit(1).count():
-        found = write_scratch(connected_components(links.union(more)), "copy-components")
-    drop_scratch(members, pairs, apart)
+        first, found = found, write_scratch(connected_components(links.union(more)), "copy-components")
+        drop_scratch(first)
+    drop_scratch(members, pairs, apart, more)
     groups = nodes.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("group"))
-    return signed.join(groups, ["k1", "k2"]).select("row", "group")
+    out = write_scratch(signed.join(groups, ["k1", "k2"]).select("row", "group"), "copy-groups")
+    drop_scratch(signed, nodes, links, found)
+    return out
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs without near copies: of each group of `copy_groups` one row stays, the one of smallest id (null last; rows of
-    equal ids by hashes of their texts).  Rows are judged one by one, whatever their ids."""
-    rows = write_scratch(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    text = F.col(text_col).cast("string")
-    groups = copy_groups(rows.select(F.col("__row").alias("row"), text.alias("text")), width, threshold)
-    i = F.col(id_col).cast("long")
-    order = F.struct(i.isNull().alias("n"), i.alias("i"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g"), F.col("__row").alias("row"))
-    keep = rows.select(F.col("__row").alias("row"), order.alias("o")).join(groups, "row").groupBy("group").agg(F.min("o").alias("o")).select(F.col("o.row").alias("__row"))
-    return rows.join(keep, "__row", "left_semi").select(*docs.columns)
+    equal ids by hashes of their texts).  Rows are judged one by one, whatever their ids; other columns are carried along,
+    whatever their names."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")  # the number stands beside the row, not among its columns
+    rows = write_scratch(docs.select(whole, F.monotonically_increasing_id().alias("row")), "rows")
+    text = F.col("doc").getField(text_col).cast("string")
+    groups = copy_groups(rows.select("row", text.alias("text")), width, threshold)
+    i = F.col("doc").getField(id_col).cast("long")
+    order = F.struct(i.isNull().alias("n"), i.alias("i"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit(7), text).alias("g"), F.col("row").alias("row"))
+    keep = rows.select("row", order.alias("o")).join(groups, "row").groupBy("group").agg(F.min("o").alias("o")).select(F.col("o.row").alias("row"))
+    return rows.join(keep, "row", "left_semi").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

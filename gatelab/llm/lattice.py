@@ -227,6 +227,14 @@ def _fields(df: DataFrame) -> str:
     return "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema)
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """The name, or the first longer one that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _slices(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     a = size = 0
     for b, t in enumerate(texts):
@@ -246,9 +254,10 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(_path(model), inverse_temperature)
         for batch in batches:
-            keys, rest = long_column(batch, "__key"), batch.drop_columns(["__key", "__text"])
+            n = batch.num_columns - 2  # key and text stand last, whatever the names
+            keys, rest = long_column(batch, n), batch.select(list(range(n)))
             for a in range(0, batch.num_rows, 256):
-                texts = batch.column("__text").slice(a, 256).to_pylist()
+                texts = batch.column(n + 1).slice(a, 256).to_pylist()
                 for x, y in _slices(texts):
                     part = texts[x:y]
                     ids, offsets = lattice.encode([t or "" for t in part], keys[a + x : a + y], seed)
@@ -259,9 +268,9 @@ def encode(
                         out = out.append_column(check_col, pa.array(same))
                     yield out
 
-    base = df.withColumn("__key", F.col(key_col).cast("long")).withColumn("__text", F.col(text_col))
-    df = df.drop(out_col, *[check_col] * bool(check_col))  # what the new columns replace
-    base = base.select(*[F.col(f"`{c}`") for c in df.columns], "__key", "__text")
+    kept = df.drop(out_col, *[check_col] * bool(check_col))  # what the new columns replace
+    base = df.select(*[F.col(f"`{c}`") for c in kept.columns], F.col(f"`{key_col}`").cast("long").alias(fresh("key", df)), F.col(f"`{text_col}`").alias(fresh("text", df)))
+    df = kept
     return arrow_map(base, run, f"{_fields(df)}`{out_col}` array<int>" + f", `{check_col}` boolean" * bool(check_col))
 
 

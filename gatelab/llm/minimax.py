@@ -3,9 +3,11 @@
 Rows with equal texts form an atomic group.  Groups are ordered by a 64-bit hash
 of their text, and shards are runs of that order.  The smallest feasible shard
 capacity is found by binary search; a capacity is checked greedily (fill a shard
-until the next group would not fit).  Where one group alone makes up the capacity, the
-other shards are filled to the lowest level at which all shards are enough, so that all of
-them are used and near equal.
+until the next group would not fit).  Below the capacity shards are filled to the lowest
+level at which all shards are enough, so a large group doesn't make the others uneven; if
+that leaves shards over, the first ones are filled a little less, and where groups are too
+coarse for that the largest shards are parted, until all are used.  With fewer groups than
+shards each group is a shard and the rest stay empty.
 
 The driver never holds the groups.  It holds at most `fan_out` sums for ranges of
 hash values.  A search over such ranges brackets the best capacity and each cut;
@@ -66,11 +68,12 @@ class Ranges:
                 low = mid + 1
         return low
 
-    def level_ends(self, level: int) -> list[int]:
-        """Ends of shards filled up to a level; what is larger than the level is a shard of its own."""
+    def level_ends(self, level: int, less: int = 0) -> list[int]:
+        """Ends of shards filled up to a level, the first `less` of them to a level lower by one; what is larger than the level is
+        a shard of its own."""
         ends, at = [], 0
         while at < self.total:
-            k = bisect_right(self.sums, at + level) - 1
+            k = bisect_right(self.sums, at + level - (len(ends) < less)) - 1
             at = self.sums[k] if self.sums[k] > at else self.sums[bisect_right(self.sums, at)]
             ends.append(at)
         return ends
@@ -86,8 +89,25 @@ class Ranges:
             else:
                 low = mid + 1
         ends = self.level_ends(low) if self.total else []
+        if len(ends) < shards:  # as many of the first shards take a little less as makes up for those left over
+            less = bisect_right(range(shards), shards - 1, key=lambda m: len(self.level_ends(low, m)))
+            mixed = self.level_ends(low, less) if self.total else []
+            ends = mixed if len(mixed) == shards else ends
         return ends if len(ends) <= shards and all(b - a <= capacity for a, b in zip([0, *ends], ends)) else None
 
+    def filled_up(self, ends: list[int], shards: int) -> list[int]:
+        """The ends with more between them until all shards are used: the largest shard that can be is parted at the edge nearest
+        to its middle, again and again."""
+        bounds = [0, *ends]
+        while len(bounds) <= shards:
+            inner = [(b - a, a, b) for a, b in zip(bounds, bounds[1:]) if bisect_right(self.sums, b) - bisect_right(self.sums, a) > 1]
+            if not inner:
+                break
+            size, a, b = max(inner)
+            edges = self.sums[bisect_right(self.sums, a) : bisect_right(self.sums, b) - 1]
+            bounds = sorted([*bounds, min(edges, key=lambda x: abs(2 * (x - a) - size))])
+        return bounds[1:]
+
     def open_ranges(self, shards: int) -> tuple[int, list[int], list[tuple[int, int]]]:
         """The capacity, the cuts (first hash of shards 1, 2, ...) and the ranges that must be split before both are exact."""
         high = self.smallest(shards, True)
@@ -101,7 +121,10 @@ class Ranges:
                     wanted[self.ranges[i][0]] = self.ranges[i][1]
                 i += 1
         ends = None if wanted else self.even_ends(high, shards)
-        ends = dict.fromkeys(x for x in ends or self.fill(high, shards)[0][1:] if x < self.total)
+        ends = list(dict.fromkeys(x for x in ends or self.fill(high, shards)[0][1:] if x <= self.total))
+        if not wanted:
+            ends = self.filled_up(ends, shards)
+        ends = [x for x in ends if x < self.total]
         cuts = [self.ranges[bisect_right(self.sums, x) - 1][0] for x in ends]
         return high, cuts, sorted(wanted.items())
 

@@ -281,7 +281,10 @@ def report(found: DataFrame, share: int = 20) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose text is contaminated.  Rows are judged one by one, whatever their ids (null or repeated)."""
-    rows = write_scratch(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    bad = report(contamination(rows, items, id_col="__row", text_col=text_col)).where("contaminated").select(F.col("doc_id").alias("__row"))
-    return rows.join(bad, "__row", "left_anti").select(*docs.columns)
+    """docs without the rows whose text is contaminated.  Rows are judged one by one, whatever their ids (null or repeated);
+    other columns are carried along, whatever their names."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    rows = write_scratch(docs.select(whole, F.monotonically_increasing_id().alias("row")), "rows")
+    texts = rows.select("row", F.col("doc").getField(text_col).alias("text"))
+    bad = report(contamination(texts, items, id_col="row")).where("contaminated").select(F.col("doc_id").alias("row"))
+    return rows.join(bad, "row", "left_anti").select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])

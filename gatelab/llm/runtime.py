@@ -174,7 +174,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(h)
 
 
-def long_column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+def long_column(batch: pa.RecordBatch, name: str | int) -> np.ndarray:
     """An integer column as int64; null is the smallest value."""
     return batch.column(name).cast(pa.int64()).fill_null(-(2**63)).to_numpy(zero_copy_only=False)
 

@@ -165,3 +165,23 @@ def test_shards_are_near_equal_below_the_capacity(sizes, shards):
     if len(sizes) > 500:
         rest = sorted(parts)[2:-1]  # without a dominating group, and the shards that it and the end cut short
         assert len(parts) >= shards - 1 and max(rest) <= 1.3 * min(rest)
+
+
+@pytest.mark.parametrize("sizes,largest", [([100] * 41, [200] + [100] * 39), ([1000] + [10] * 300, None), ([10] * 150 + [1000] + [10] * 150, None), ([10] * 300 + [1000], None), ([5] * 12, None)])
+def test_all_shards_are_used(sizes, largest):
+    """Groups coarser than shards, a group that dominates at any place, fewer groups than shards."""
+    capacity, cuts = minimax.minimax(sizes, 40)
+    bounds = [0, *cuts, len(sizes)]
+    got = [sum(sizes[a:b]) for a, b in zip(bounds, bounds[1:])]
+    assert capacity == brute_capacity(sizes, 40) and max(got) <= capacity and min(got) > 0
+    assert len(got) == min(40, len(sizes))
+    assert largest is None or sorted(got, reverse=True) == largest
+    assert largest or max(x for x in got if x < 1000) <= 80
+
+
+def test_coarse_groups_use_all_shards(spark):
+    rows = [(i, f"group {i % 41:03d} " * 10) for i in range(410)]
+    got = minimax.shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 40).collect()
+    assert {r.shard for r in got} == set(range(40))
+    sizes = [sum(r.size for r in got if r.shard == s) for s in range(40)]
+    assert sorted(sizes)[-1] == 2 * sorted(sizes)[-2] == 2 * min(sizes)

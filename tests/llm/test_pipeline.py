@@ -80,3 +80,20 @@ def test_nulls_repeated_rows_and_empty_tables(spark):
     assert ids(kept["decontaminate"](spark, docs, sf)) == ["10", "7", "8", "9", "9", "None", "None"]
     pieces = {str(r.doc_id): r for r in kept["pieces"](spark, docs, sf).collect()}
     assert pieces["7"].pieces is None and pieces["8"].pieces == [] and pieces["10"].n_pieces > 1000
+
+
+def test_columns_named_like_inner_ones(spark, sf_dir):
+    """Columns of any name go through every stage with their values."""
+    names = ["__row", "__key", "__text", "row", "doc", "key", "text2", "node", "band", "group", "id"]
+    rows = [(i, f"line {i} of a short text\nand {i * 7} more", "en", "s", 30, *[f"{n}{i}" for n in names]) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[1:4]:  # quality keeps what fits the labels' words, and these rows have none of them
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns and kept.dtypes == docs.dtypes, name
+        got = kept.collect()
+        assert got and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names), name
+    quality = corpus_pipeline.quality(spark, docs, sf_dir)
+    assert quality.columns == docs.columns and all(r[n] == f"{n}{r.doc_id}" for r in quality.collect() for n in names)
+    out = lattice.encode(docs)
+    assert out.columns == [*docs.columns, "pieces"] and all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names)
+    assert {r.doc_id: r.decoded for r in lattice.decode(out).collect()} == {r.doc_id: r.text for r in docs.collect()}
