@@ -1,18 +1,20 @@
-"""Fuzzy line dedup by MinHash, in DataFrame functions only.
+"""Fuzzy line dedup by MinHash: lines, bands, verification and components in DataFrame functions, signatures in numpy.
 
 Lines are compared in lower case and trimmed.  Lines that are then equal are one
 distinct line, known by 128 bits of hashes and by its first place (smallest document
 id, then a hash of the text, then line number).
 
-Signatures are made of the shingles that are compared, those of 5 characters.  To spare
-work, a line with many of them is signed by those that start with one of a few characters,
-a line with few such by those of more characters, or by all; a line between two kinds by
-both, so that similar lines have a kind in common.  The kind goes by the sets, not by lengths.  The hashes of a set lie on a
-circle; the first hash at or after a fixed point is one MinHash value, and BANDS bands of
-ROWS values each use points far from one another.  Two lines of Jaccard similarity 0.8 meet
-in a band with a probability of some 0.98, more above (tests/llm measures it).
+A line is signed by all its shingles of 5 characters.  Their hashes lie on a circle; the
+first hash at or after a fixed point is one MinHash value, and BANDS bands of ROWS values
+each use points far from one another.  Two lines of Jaccard similarity 0.8 meet in a band
+with a probability of some 0.98, more above (tests/llm measures it).
 
-Candidates are verified exactly: Jaccard similarity of the sets of all 5-character
+A signature also has a bitmap of the shingles, a bit for each by its hash.  A bit that two
+lines don't share stands for a shingle at least that they don't share, so from the bits
+that differ and the number of shingles follows, for sure, that many pairs of a band can't be
+similar enough; those are left out where bands are joined, and no similar pair is.
+
+What is left is verified exactly: Jaccard similarity of the sets of all 5-character
 shingles (by 64-bit hashes).  In a band each line is first verified against the band's
 most frequent line.  After union-find over the links, lines of one band and different
 components are verified in rounds: in each, a few more lines of every band meet the lines
@@ -29,22 +31,23 @@ whatever their names; those named `__n_lines` or `__n_removed` are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelab.llm.components import connected_components
-from gatelab.llm.runtime import drop_scratch, write_scratch
+from gatelab.llm.runtime import arrow_map, drop_scratch, mix, slices, utf8, write_scratch
 
 SHINGLE = 5
 BANDS, ROWS = 11, 5  # a prime number of bands, so that none share a point
 POINTS = 64  # a power of two, BANDS * ROWS or more
-#: Signatures take the shingles that start with one of these, of long and of middling lines.
-SAMPLED = ("adgu04", "adgilptu048")
-#: A line with this many sampled shingles or more is signed by them; one with that many or fewer (also) by the next kind, the last being all its shingles.
-FEW = (40, 54)
+BITS = 4  # longs of a bitmap
 
 #: Lines of a band that meet the others in each round after the first, as expected; the last round takes all that are left.
-ROUNDS = (2, 16, 128)
+ROUNDS = (8, 128)
 
 #: Lines of candidate pairs, and bands that hold several lines, are looked up by a broadcast up to this many (about 60 MB), else by a shuffle.
 BROADCAST_LINES = 500_000
@@ -76,42 +79,104 @@ def _shingle_hashes(norm: Column) -> Column:
     return _hashes(F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)))
 
 
-def _circle(lines: DataFrame, name: str) -> DataFrame:
-    """The column of sorted hashes replaced by the first hash at or after each of POINTS points, around the circle."""
-    arc = lambda x: F.shiftright(x, 65 - POINTS.bit_length()).cast("int")  # noqa: E731  -POINTS / 2 and up
-    # each hash stands for the points since the hash before it, the first one also for those after the last
-    at = F.flatten(F.transform(name, lambda x, i: F.array_repeat(x, arc(x) - F.coalesce(arc(F.get(name, i - 1)), F.lit(-POINTS // 2 - 1)))))
-    return lines.withColumn(name, F.concat(at, F.array_repeat(F.get(name, F.lit(0)), F.lit(POINTS // 2 - 1) - arc(F.try_element_at(name, F.lit(-1))))))
+def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of UTF-8 bytes: a number for each character (its bytes), and for each row the number of its first one (n + 1)."""
+    starts = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(starts) == len(data):
+        return data.astype(np.uint32), offsets
+    ends = np.append(starts[1:], len(data))
+    out = data[starts].astype(np.uint32)
+    for k in range(1, 4):
+        more = np.flatnonzero(ends - starts > k)
+        out[more] = out[more] << np.uint32(8) | data[starts[more] + k]
+    return out, np.searchsorted(starts, offsets)
+
+
+_FACTOR = np.cumprod(np.full(SHINGLE, 0x9E3779B1, np.uint32), dtype=np.uint32)
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of the shingles of rows (none empty), repeats included; the row of each; how many each row has.  A row of
+    fewer characters is its own only shingle."""
+    chars, first = characters(data, offsets)
+    size = np.diff(first)
+    short = np.flatnonzero(size < SHINGLE)
+    wide = np.append(chars, np.zeros(SHINGLE, np.uint32))
+    n = len(chars)
+    h = wide[:n] * _FACTOR[0]
+    for k in range(1, SHINGLE):
+        h += wide[k : n + k] * _FACTOR[k]
+    for i in short:  # not what comes after it
+        h[first[i]] = (chars[first[i] : first[i + 1]] * _FACTOR[: size[i]]).sum(dtype=np.uint32)
+    # the finaliser of MurmurHash3
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x85EBCA6B)
+    h ^= h >> np.uint32(13)
+    h *= np.uint32(0xC2B2AE35)
+    h ^= h >> np.uint32(16)
+    # windows that would reach into the next row are none
+    inside = np.ones(n, bool)
+    for k in range(1, SHINGLE):
+        inside[np.maximum(first[1:] - k, first[:-1] + 1)[size > 1]] = False
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    return h[inside], row[inside], np.maximum(size - SHINGLE + 1, 1)
+
+
+def signatures(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bands (n, BANDS) and bitmaps (n, BITS) of the rows whose shingles hash to h."""
+    none = np.uint32(0xFFFFFFFF)
+    first = np.full(n * POINTS, none)
+    np.minimum.at(first, row * POINTS + (h >> np.uint32(33 - POINTS.bit_length())).astype(np.int32), h)
+    first = first.reshape(n, POINTS)
+    # points without a hash up to the next point take that of the next, around the circle
+    where = np.where(np.tile(first != none, 2), np.arange(2 * POINTS), 2 * POINTS - 1)
+    where = np.minimum.accumulate(where[:, ::-1], axis=1)[:, ::-1][:, :POINTS] % POINTS
+    at = np.take_along_axis(first, where, axis=1).astype(np.uint64)
+    step = POINTS // ROWS
+    bands = np.empty((n, BANDS), np.uint64)
+    for j in range(BANDS):
+        band = np.full(n, j + 1, np.uint64)
+        for r in range(ROWS):
+            band = mix(band * np.uint64(0x9E3779B97F4A7C15) + at[:, r * step + j * (r + 1) % BANDS])
+        bands[:, j] = band
+    bits = np.zeros(n * BITS * 64, bool)
+    bits[row * (BITS * 64) + (h % np.uint32(BITS * 64)).astype(np.int32)] = True
+    return bands, np.packbits(bits.reshape(n, -1), axis=1, bitorder="little").view(np.uint64)
 
 
-def _bands(at: str, kind: int) -> Column:
-    """The hashes of ROWS values for each band, places in plain literals so that they compile."""
-    step = POINTS // ROWS
-    return F.array(*[F.xxhash64(F.lit(kind), F.lit(j), *[F.get(at, F.lit(r * step + j * (r + 1) % BANDS)) for r in range(ROWS)]) for j in range(BANDS)])
+_BITMAP = [f"b{k}" for k in range(BITS)]
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """doc, th, pos, k1, k2, bands."""
-    wanted, kinds = F.lit(True), []
-    for kind, first in enumerate(SAMPLED):
-        name = f"s{kind}"
-        hashes = _hashes(F.regexp_extract_all("norm", F.lit(f"(?s)(?=([{first}].{{{SHINGLE - 1}}}))"), 1))
-        lines = lines.withColumn(name, F.when(wanted, hashes))
-        wanted = wanted & (F.size(name) <= FEW[1])
-        kinds.append((name, F.when(F.size(name) >= FEW[0], F.sort_array(name))))
-    lines = lines.withColumn("all", F.when(wanted, F.sort_array(_shingle_hashes(F.col("norm")))))
-    lines = lines.select("doc", "th", "pos", "k1", "k2", *[c.alias(name) for name, c in kinds], "all")
-    names = [*(name for name, _ in kinds), "all"]
-    for name in names:
-        lines = _circle(lines, name)
-    none = F.array().cast("array<bigint>")
-    bands = F.concat(*[F.when(F.col(name).isNull(), none).otherwise(_bands(name, kind)) for kind, name in enumerate(names)])
-    return lines.select("doc", "th", "pos", "k1", "k2", bands.alias("bands"))
+    """doc, th, pos, k1, k2, bands, many (shingles, repeats included) and the longs of the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(5))
+            for a, b in slices(offsets, 1 << 18):
+                own = offsets[a : b + 1] - offsets[a]
+                h, row, many = shingles(data[offsets[a] : offsets[b]], own)
+                bands, bits = signatures(h, row, b - a)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
+                columns = [batch.column(k).slice(a, b - a) for k in range(5)]
+                columns += [lists, pa.array(many.astype(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(BITS)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc", "th", "pos", "k1", "k2", "bands", "many", *_BITMAP])
+
+    types = "doc long, th long, pos int, k1 long, k2 long, bands array<long>, many long, " + ", ".join(f"{b} long" for b in _BITMAP)
+    return arrow_map(lines.select("doc", "th", "pos", "k1", "k2", "norm"), run, types)
+
+
+def _maybe(x: str, y: str, threshold: float) -> Column:
+    """False only where the bitmaps show that the sets of x and y are less alike than the threshold: of their union at least as
+    many shingles are unshared as bits differ, and no more are shared than the smaller has."""
+    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITMAP[1:]), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
+    return threshold * differ <= (1 - threshold) * F.least(F.col(f"{x}.many"), F.col(f"{y}.many")) + 1e-6
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: id, k1, k2, first (doc, th, pos), n, bands."""
-    out = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    """One row per distinct line: id, k1, k2, first (doc, th, pos), n, bands, many and the bitmap."""
+    same = [F.first(c).alias(c) for c in ("bands", "many", *_BITMAP)]
+    out = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), *same)
     return write_scratch(out.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
 
 
@@ -146,32 +211,38 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return sizes.where(F.col("n") >= F.lit(threshold) * (F.col("sum") - F.col("n"))).select("a", "b").distinct()
 
 
-def _apart(members: DataFrame, found: DataFrame) -> DataFrame:
-    """band, id, c, u: the lines of bands that hold several components; u orders them, evenly from 0 to the size of the band."""
+def _apart(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
+    """band, id, c, u, sketch: the lines of bands that hold several components; u orders them, evenly from 0 to the size of the band."""
     rows = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     rows = rows.select("band", "id", "m", F.coalesce("component", "id").alias("c"))
     several = rows.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    return rows.join(several, "band", "left_semi").select("band", "id", "c", F.pmod(F.xxhash64("id", "band"), F.col("m")).alias("u"))
+    rows = rows.join(several, "band", "left_semi").join(sketches, "id")
+    return rows.select("band", "id", "c", F.pmod(F.xxhash64("id", "band"), F.col("m")).alias("u"), "many", *_BITMAP)
 
 
 def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """docs: __doc, __text.  The distinct lines, and node, component for those that have links."""
     distinct = _distinct(_signed(_lines(docs)))
+    sketches = distinct.select("id", "many", *_BITMAP)
     members = _members(distinct)
-    pairs = write_scratch(members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct(), "pairs")
-    texts = _texts(docs, distinct, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    pairs = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+    x, y = sketches.alias("x"), sketches.alias("y")
+    pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+    pairs = write_scratch(pairs.where(_maybe("x", "y", threshold)).select("a", "b"), "pairs")
+    texts = _texts(docs, distinct, members.select("id").distinct())
     links = write_scratch(_verified(pairs, texts, threshold), "line-links")
     found = write_scratch(connected_components(links), "line-components")
     drop_scratch(links)
 
     tested, low = [pairs], 0
     for high in (*ROUNDS, None):
-        apart = write_scratch(_apart(members, found), "lines-apart")
+        apart = write_scratch(_apart(members, found, sketches), "lines-apart")
         # a pair belongs to the round of the lesser of its two in the order of the band
-        hubs = apart.where(F.col("u").between(low, high - 1) if high else F.col("u") >= low)
-        a = hubs.select("band", F.col("id").alias("x"), F.col("c").alias("cx"), F.col("u").alias("ux"))
-        b = apart.select("band", F.col("id").alias("y"), F.col("c").alias("cy"), F.col("u").alias("uy"))
-        cross = a.join(b, "band").where("cx <> cy and (uy > ux or (uy = ux and y > x))").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        x = apart.where(F.col("u").between(low, high - 1) if high else F.col("u") >= low).alias("x")
+        y = apart.alias("y")
+        later = (F.col("y.u") > F.col("x.u")) | ((F.col("y.u") == F.col("x.u")) & (F.col("y.id") > F.col("x.id")))
+        cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & later & _maybe("x", "y", threshold))
+        cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         for t in tested:
             cross = cross.join(t, ["a", "b"], "left_anti")
         cross = write_scratch(cross, "pairs")
