@@ -18,9 +18,10 @@ removed when it lies in a window that also starts in a document of smaller id.
 Buckets follow the number of shuffle partitions, so their size doesn't grow with
 the input; hot values add rows to one bucket only for each document that has them.
 
-Null text has no words.  Documents of equal id don't remove from one another.  A
-null id counts as the smallest.  Repeated rows get equal results.  Other columns
-are not read.
+Null text has no words.  Texts of any length are cut whole, a long one over several
+chunks.  Documents of equal id don't remove from one another.  A null id counts as the
+smallest.  Repeated rows get equal results; no rows give none.  Other columns are not
+read.
 """
 
 from __future__ import annotations

@@ -36,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelab.llm.components import connected_components
+from gatelab.llm.components import connected_components, may_be_alike
 from gatelab.llm.runtime import LOWER, SPACED, arrow_map, drop_scratch, mix, slices, utf8, word_bounds, word_hashes, write_scratch
 
 BITS = 64
 BANDS, BAND_ROWS = 16, 5
+BITS = 16  # longs of a bitmap of shingles
+_BITMAP = [f"b{k}" for k in range(BITS)]
 _PERMUTED = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _WORD = np.cumprod(np.full(64, 0xA0761D6478BD642F, np.uint64))
 
@@ -226,7 +228,8 @@ def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """rows: row, text.  Returns row, k1, k2 (equal for equal bags of shingles) and bands."""
+    """rows: row, text.  Returns row, k1, k2 (equal for equal bags of shingles), bands, many (shingles, repeats included) and the
+    longs of a bitmap of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,8 +237,13 @@ def _signed(rows: DataFrame, width: int) -> DataFrame:
             n = batch.num_rows
             keys, bands = np.zeros((2, n), np.uint64), np.zeros((n, BANDS), np.uint64)
             filled = np.zeros(n, bool)
+            many, bits = np.zeros(n, np.int64), np.zeros((n, BITS), np.uint64)
             for a, b in slices(offsets, 1 << 20):
                 h, to = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
+                many[a:b] = np.diff(to)
+                held = np.zeros((b - a) * BITS * 64, bool)
+                held[np.repeat(np.arange(b - a), np.diff(to)) * (BITS * 64) + (h % np.uint64(BITS * 64)).astype(np.int64)] = True
+                bits[a:b] = np.packbits(held.reshape(b - a, -1), axis=1, bitorder="little").view(np.uint64)
                 full = np.flatnonzero(np.diff(to))
                 if not len(full):
                     continue
@@ -250,9 +258,12 @@ def _signed(rows: DataFrame, width: int) -> DataFrame:
                     bands[a + full, k] = band
             to = np.concatenate([[0], np.cumsum(np.where(filled, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(to), pa.array(bands[filled].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], names=["row", "k1", "k2", "bands"])
+            sketch = [pa.array(many), *[pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(BITS)]]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists, *sketch], names=["row", "k1", "k2", "bands", "many", *_BITMAP]
+            )
 
-    return arrow_map(rows, run, "row long, k1 long, k2 long, bands array<long>")
+    return arrow_map(rows, run, "row long, k1 long, k2 long, bands array<long>, many long, " + ", ".join(f"{b} long" for b in _BITMAP))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -278,15 +289,21 @@ def copy_groups(rows: DataFrame, width: int = 5, threshold: float = 0.8) -> Data
 
     Rows of equal bags of shingles are one node.  Nodes meet in bands of a MinHash signature.  In every band each node is
     compared with one of its nodes, drawn by hash for each band, then those of other components than that one's with the
-    nodes of all components but their own: a pair of a band is compared or already connected."""
+    nodes of all components but their own: a pair of a band is compared or already connected.  Pairs that bitmaps of the
+    shingles show to be less alike are left out where bands are joined; only of the others do texts meet."""
     signed = write_scratch(_signed(rows, width), "signed")
-    nodes = write_scratch(signed.groupBy("k1", "k2").agg(F.min("row").alias("node"), F.min("bands").alias("bands")), "nodes")
+    same = [F.first(c).alias(c) for c in ("bands", "many", *_BITMAP)]
+    nodes = write_scratch(signed.groupBy("k1", "k2").agg(F.min("row").alias("node"), *same), "nodes")
+    sketches = nodes.select("node", "many", *_BITMAP)
+    alike = may_be_alike("x", "y", _BITMAP, threshold)
     texts = rows.select("row", "text")
     each = nodes.select("node", F.explode("bands").alias("band"))
     hubs = each.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("top"), F.count("*").alias("m")).where("m > 1")
     members = write_scratch(each.join(hubs.select("band", F.col("top.node").alias("hub")), "band"), "members")
     ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    pairs = write_scratch(members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).select(*ordered).distinct(), "pairs")
+    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).select(*ordered).distinct()
+    pairs = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
+    pairs = write_scratch(pairs.where(alike).select("a", "b"), "pairs")
     links = write_scratch(_alike(pairs, texts, width, threshold), "copy-links")
     found = write_scratch(connected_components(links), "copy-components")
 
@@ -294,8 +311,9 @@ def copy_groups(rows: DataFrame, width: int = 5, threshold: float = 0.8) -> Data
     hub_of = found.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
     at = members.join(of, "node", "left").join(hub_of, "hub", "left").select("band", "node", F.coalesce("c", "node").alias("c"), F.coalesce("hc", "hub").alias("hc"))
     apart = write_scratch(at.where("c <> hc"), "apart")
-    others = at.join(apart.select("band").distinct(), "band", "left_semi").select("band", F.col("node").alias("b"), F.col("c").alias("cb"))
-    cross = apart.select("band", F.col("node").alias("a"), F.col("c").alias("ca")).join(others, "band").where("ca <> cb").select(*ordered).distinct()
+    others = at.join(apart.select("band").distinct(), "band", "left_semi").join(sketches, "node").alias("y")
+    cross = apart.join(sketches, "node").alias("x").join(others, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & alike)
+    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).select(*ordered).distinct()
     more = write_scratch(_alike(cross.join(pairs, ["a", "b"], "left_anti"), texts, width, threshold), "copy-links")
     if more.limit(1).count():
         first, found = found, write_scratch(connected_components(links.union(more)), "copy-components")

@@ -5,11 +5,16 @@ neighbours, then its smaller ones, to the least neighbour.  Each step is a
 grouped minimum (partially aggregated) and a join, so a node with any share of
 the links doesn't gather its neighbours in one task; the number of rounds grows
 with the logarithm of the longest chain.
+
+Also what rules links out before anything is compared: bitmaps of sets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import add
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelab.llm.runtime import drop_scratch, write_scratch
@@ -37,3 +42,11 @@ def connected_components(links: DataFrame) -> DataFrame:
             return links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
                 links.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("component"))
             )
+
+
+def may_be_alike(x: str, y: str, bitmap: list[str], threshold: float) -> Column:
+    """False only where two sets are surely less alike than the threshold (Jaccard).  x and y name rows with longs of a bitmap, a
+    bit for each element by its hash, and `many`, no less than the size of the set.  A bit that differs stands for at least
+    one element that isn't shared, and no more are shared than the smaller set has."""
+    differ = reduce(add, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bitmap])
+    return threshold * differ <= (1 - threshold) * F.least(F.col(f"{x}.many"), F.col(f"{y}.many")) + 1e-6

@@ -20,7 +20,7 @@ front.  A text's own U+2581 is written in bytes, so that it is not taken for a
 space: decoding always gives back the text.
 
 Null text is encoded as null; empty text as no pieces.  Repeated rows get equal
-pieces.  A null key is a key like any other.  Texts of any length are encoded whole.
+pieces; no rows give none.  A null key is a key like any other.  Texts of any length are encoded whole.
 Other columns are carried along; one named like an output column is replaced by it.
 """
 

@@ -1,4 +1,4 @@
-"""Fuzzy line dedup by MinHash: lines, bands, verification and components in DataFrame functions, signatures in numpy.
+"""Fuzzy line dedup by MinHash: lines, bands, components and removal in DataFrame functions, signatures and verification in numpy.
 
 Lines are compared in lower case and trimmed.  Lines that are then equal are one
 distinct line, known by 128 bits of hashes and by its first place (smallest document
@@ -15,7 +15,7 @@ that differ and the number of shingles follows, for sure, that many pairs of a b
 similar enough; those are left out where bands are joined, and no similar pair is.
 
 What is left is verified exactly: Jaccard similarity of the sets of all 5-character
-shingles (by 64-bit hashes).  In a band each line is first verified against the band's
+shingles.  In a band each line is first verified against the band's
 most frequent line.  After union-find over the links, lines of one band and different
 components are verified in rounds: in each, a few more lines of every band meet the lines
 of other components, and links found spare the rounds that follow.  So every pair of a
@@ -35,48 +35,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatelab.llm.components import connected_components
+from gatelab.llm.components import connected_components, may_be_alike
 from gatelab.llm.runtime import arrow_map, drop_scratch, mix, slices, utf8, write_scratch
 
 SHINGLE = 5
 BANDS, ROWS = 11, 5  # a prime number of bands, so that none share a point
 POINTS = 64  # a power of two, BANDS * ROWS or more
-BITS = 4  # longs of a bitmap
+BITS = 16  # longs of a bitmap
 
 #: Lines of a band that meet the others in each round after the first, as expected; the last round takes all that are left.
-ROUNDS = (8, 128)
+ROUNDS = (16,)
 
-#: Lines of candidate pairs, and bands that hold several lines, are looked up by a broadcast up to this many (about 60 MB), else by a shuffle.
+#: Candidate pairs, and bands that hold several lines, are looked up by a broadcast up to this many (about 60 MB), else by a shuffle.
 BROADCAST_LINES = 500_000
 
 
-def _raw_lines(docs: DataFrame) -> DataFrame:
-    """doc, th (hash of the text), pos, line; docs has __doc and __text."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc, th (hash of the text), pos, norm, k1, k2 for every line that isn't blank; docs has __doc and __text."""
     rows = docs.where("__doc is not null").select(F.col("__doc").alias("doc"), F.xxhash64("__text").alias("th"), F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
-    return rows
-
-
-def _normal(rows: DataFrame) -> DataFrame:
-    """With norm, k1 and k2 instead of line."""
     rows = rows.withColumn("norm", F.btrim(F.lower("line"), F.lit(" \t\r\f\x0b"))).drop("line")
-    return rows.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(7), "norm")})
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc, th, pos, norm, k1, k2 for every line that isn't blank."""
-    return _normal(_raw_lines(docs)).where("norm <> ''")
-
-
-def _hashes(shingles: Column) -> Column:
-    return F.array_distinct(F.transform(shingles, lambda x: F.xxhash64(x)))
-
-
-def _shingle_hashes(norm: Column) -> Column:
-    """The set of hashes of all shingles; a shorter line is its own only shingle."""
-    return _hashes(F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(F.regexp_extract_all(norm, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), 1)))
+    return rows.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(7), "norm")}).where("norm <> ''")
 
 
 def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,36 +129,31 @@ _BITMAP = [f"b{k}" for k in range(BITS)]
 
 
 def _signed(lines: DataFrame) -> DataFrame:
-    """doc, th, pos, k1, k2, bands, many (shingles, repeats included) and the longs of the bitmap."""
+    """lines, of which one column is norm, with bands, many (shingles, repeats included) and the longs of the bitmap."""
+    place = lines.columns.index("norm")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(5))
+            data, offsets = utf8(batch.column(place))
             for a, b in slices(offsets, 1 << 18):
                 own = offsets[a : b + 1] - offsets[a]
                 h, row, many = shingles(data[offsets[a] : offsets[b]], own)
                 bands, bits = signatures(h, row, b - a)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-                columns = [batch.column(k).slice(a, b - a) for k in range(5)]
+                columns = [c.slice(a, b - a) for c in batch.columns]
                 columns += [lists, pa.array(many.astype(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(BITS)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc", "th", "pos", "k1", "k2", "bands", "many", *_BITMAP])
+                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "bands", "many", *_BITMAP])
 
-    types = "doc long, th long, pos int, k1 long, k2 long, bands array<long>, many long, " + ", ".join(f"{b} long" for b in _BITMAP)
-    return arrow_map(lines.select("doc", "th", "pos", "k1", "k2", "norm"), run, types)
-
-
-def _maybe(x: str, y: str, threshold: float) -> Column:
-    """False only where the bitmaps show that the sets of x and y are less alike than the threshold: of their union at least as
-    many shingles are unshared as bits differ, and no more are shared than the smaller has."""
-    differ = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in _BITMAP[1:]), F.bit_count(F.col(f"{x}.b0").bitwiseXOR(F.col(f"{y}.b0"))))
-    return threshold * differ <= (1 - threshold) * F.least(F.col(f"{x}.many"), F.col(f"{y}.many")) + 1e-6
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
+    return arrow_map(lines, run, f"{own}, bands array<long>, many long, " + ", ".join(f"{b} long" for b in _BITMAP))
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: id, k1, k2, first (doc, th, pos), n, bands, many and the bitmap."""
-    same = [F.first(c).alias(c) for c in ("bands", "many", *_BITMAP)]
-    out = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), *same)
-    return write_scratch(out.withColumn("id", F.monotonically_increasing_id()), "distinct-lines")
+    """One row per distinct line, signed: id, k1, k2, first (doc, th, pos), n, norm, bands, many and the bitmap."""
+    out = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm"))
+    out = out.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first.*", "n", "norm")
+    signed = _signed(out).withColumn("first", F.struct("doc", "th", "pos")).drop("doc", "th", "pos")
+    return write_scratch(signed, "distinct-lines")
 
 
 def _members(distinct: DataFrame) -> DataFrame:
@@ -193,22 +169,44 @@ def _members(distinct: DataFrame) -> DataFrame:
     return members
 
 
-def _texts(docs: DataFrame, distinct: DataFrame, ids: DataFrame) -> DataFrame:
-    """id, norm of the given distinct lines, read again at their first places."""
-    places = write_scratch(distinct.join(ids, "id", "left_semi").select("id", "first.doc", "first.th", "first.pos", F.col("k1").alias("l1"), F.col("k2").alias("l2")), "places")
-    few = places.count() <= BROADCAST_LINES
-    found = _raw_lines(docs).join(F.broadcast(places) if few else places, ["doc", "th", "pos"])
-    out = write_scratch(_normal(found).where("k1 = l1 and k2 = l2").select("id", "norm"), "line-texts")
-    drop_scratch(places)
-    return out
+def _unlike(x: pa.Array, y: pa.Array, threshold: float) -> np.ndarray:
+    """Which rows of two columns of lines are less alike than the threshold.  Sets are counted by 32-bit hashes; where a few
+    collisions could matter the shingles themselves decide."""
+    (xd, xo), (yd, yo) = utf8(x), utf8(y)
+    keys, sizes = [], []
+    for data, offsets in ((xd, xo), (yd, yo)):
+        h, row, _ = shingles(data, offsets)
+        keys.append(np.unique(row.astype(np.uint64) << np.uint64(32) | h))
+        sizes.append(np.bincount((keys[-1] >> np.uint64(32)).astype(np.int64), minlength=len(x)))
+    both = np.intersect1d(*keys, assume_unique=True)
+    shared = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(x))
+    over = shared - threshold * (sizes[0] + sizes[1] - shared)
+    for i in np.flatnonzero(np.abs(over) < 5):
+        s, t = (_set(c[i].as_py()) for c in (x, y))
+        over[i] = len(s & t) - threshold * len(s | t)
+    return over < 0
+
+
+def _set(line: str) -> set[str]:
+    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) of at least that Jaccard similarity."""
+    """The pairs (a, b) of at least that Jaccard similarity; texts: id, norm."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, offsets = utf8(batch.column(2))
+            for a, b in slices(offsets, 1 << 18):
+                part = batch.slice(a, b - a)
+                keep = pa.array(~_unlike(part.column(2), part.column(3), threshold))
+                yield pa.RecordBatch.from_arrays([part.column(k).filter(keep) for k in range(2)], names=["a", "b"])
+
+    if pairs.count() <= BROADCAST_LINES:
+        texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
     side = lambda name, norm: texts.select(F.col("id").alias(name), F.col("norm").alias(norm))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", _shingle_hashes(F.col("x")).alias("x"), _shingle_hashes(F.col("y")).alias("y"))
-    sizes = both.withColumns({"n": F.size(F.array_intersect("x", "y")), "sum": F.size("x") + F.size("y")})
-    return sizes.where(F.col("n") >= F.lit(threshold) * (F.col("sum") - F.col("n"))).select("a", "b").distinct()
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    return arrow_map(both, run, "a long, b long")
 
 
 def _apart(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -228,8 +226,8 @@ def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     pairs = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     x, y = sketches.alias("x"), sketches.alias("y")
     pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
-    pairs = write_scratch(pairs.where(_maybe("x", "y", threshold)).select("a", "b"), "pairs")
-    texts = _texts(docs, distinct, members.select("id").distinct())
+    pairs = write_scratch(pairs.where(may_be_alike("x", "y", _BITMAP, threshold)).select("a", "b"), "pairs")
+    texts = distinct.select("id", "norm")
     links = write_scratch(_verified(pairs, texts, threshold), "line-links")
     found = write_scratch(connected_components(links), "line-components")
     drop_scratch(links)
@@ -241,7 +239,7 @@ def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
         x = apart.where(F.col("u").between(low, high - 1) if high else F.col("u") >= low).alias("x")
         y = apart.alias("y")
         later = (F.col("y.u") > F.col("x.u")) | ((F.col("y.u") == F.col("x.u")) & (F.col("y.id") > F.col("x.id")))
-        cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & later & _maybe("x", "y", threshold))
+        cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & later & may_be_alike("x", "y", _BITMAP, threshold))
         cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
         for t in tested:
             cross = cross.join(t, ["a", "b"], "left_anti")
@@ -257,7 +255,7 @@ def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
             drop_scratch(found)
             found = now
         drop_scratch(more)
-    drop_scratch(members, texts, *tested)
+    drop_scratch(members, *tested)
     return distinct, found
 
 

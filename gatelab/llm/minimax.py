@@ -21,7 +21,8 @@ offset plus its rank in its block, by id (null first) and a hash of the text; eq
 are in any order.
 
 Null text counts as empty: its size is the per-row overhead, its checksum 0, and it
-is in one group with empty texts.  Repeated rows keep one slot each.  An empty
+is in one group with empty texts.  A text of any length is one row of its size; rows of
+null id are dealt like others.  Repeated rows keep one slot each.  An empty
 table gives an empty result.  Other columns of docs are not read.
 """
 

@@ -18,7 +18,7 @@ Vectors that are null, or hold a null or a value that isn't finite, take no part
 Shorter vectors count as padded with zeros.  Fully repeated rows count once; rows of
 one id with different vectors are all candidates, and the one of them that is least
 as bytes is the query.  No candidate has the query's own id.  A null id takes no
-part.  Components beyond 2**31 or scores beyond 2**44 raise an error.
+part.  An empty table gives no rows.  Components beyond 2**31 or scores beyond 2**44 raise an error.
 """
 
 from __future__ import annotations

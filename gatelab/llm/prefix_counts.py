@@ -12,8 +12,9 @@ The stored form is one small integer per character: the change of the count.
 Their running sum is the count at every prefix, so truncation and budget
 questions are answered from the table, without encoding again.
 
-Null text counts as empty text: no bytes, no tokens, an empty table.  Repeated
-rows give equal rows.  Columns other than the id and the text are not read.
+Null text counts as empty text: no bytes, no tokens, an empty table.  Texts of any
+length are counted whole, unit by unit.  Null ids are kept.  Repeated rows give equal
+rows; no rows give none.  Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ from gatelab.llm.runtime import read_parquet
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotes.link_quotes(read_parquet(spark, sf_dir, "conversations"))
+    """The given messages quote nothing, so they are linked as mail in which each quotes those before it."""
+    return quotes.link_quotes(quotes.as_mail(read_parquet(spark, sf_dir, "conversations")))
 
 
 def op2_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op1_quotation_linking": quotes.SQL,
+    "op1_quotation_linking": quotes.MAIL_SQL,
     "op3_pivot_top_k": """
 WITH v AS (
   SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE) for x in embedding] AS v

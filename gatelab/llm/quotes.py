@@ -21,7 +21,7 @@ conversation or a line of any share of the rows meets no pairs; roots are found
 doubling, in as many rounds as the logarithm of the longest chain of replies.
 
 Null text has no lines and an empty body; parts that are empty when normalised don't link.
-Texts of any length are parsed whole.  Rows with a
+Texts of any length are parsed whole; no messages give no rows.  Rows with a
 null conversation or turn link to nothing.  Rows of equal conversation and turn are
 one message for linking, and each keeps its own body.  Columns named like the
 output's are not read.
@@ -97,6 +97,18 @@ def reply_roots(parents: DataFrame) -> DataFrame:
             return now.drop("moved")
 
 
+def as_mail(messages: DataFrame) -> DataFrame:
+    """The conversations as mail in which each message quotes the two before it, the nearer at one level, the other at two, under
+    an introduction; for tables whose messages quote nothing.  A message is looked up by its turn, so no conversation is
+    gathered; of several messages of one turn the least text is quoted."""
+    before = messages.groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    back = lambda k: before.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(f"t{k}"))
+    rows = messages.join(back(1), ["conv_id", "turn"], "left").join(back(2), ["conv_id", "turn"], "left")
+    quote = lambda c, mark: F.concat(F.lit(mark), F.regexp_replace(c, "\n", "\n" + mark), F.lit("\n"))
+    near = F.when(F.col("t1").isNotNull(), F.concat(F.lit("The one before wrote:\n"), quote(F.col("t1"), "> "), F.coalesce(quote(F.col("t2"), "> > "), F.lit("")), F.lit("\n")))
+    return rows.select("conv_id", "turn", "role", F.concat(F.coalesce(near, F.lit("")), "text").alias("text"))
+
+
 def link_quotes(messages: DataFrame) -> DataFrame:
     """messages: conv_id, turn, role, text.  Returns, in reply order, conv_id, root_turn, turn, role, parent_turn,
     depth, n_quoted (lines), max_level, body (text without quotes) and formatted (role header and body)."""
@@ -176,3 +188,12 @@ SELECT w.conv_id, coalesce(r.root, w.turn) AS root_turn, w.turn, w.role, r.paren
        '<|' || coalesce(w.role, '') || '|>' || chr(10) || w.body AS formatted
 FROM whole w LEFT JOIN root r ON r.conv_id = w.conv_id AND r.turn = w.turn
 """
+
+#: The same over as_mail(conversations).
+MAIL_SQL = SQL.replace("FROM conversations", "FROM mail").replace("WITH RECURSIVE m AS (", """WITH RECURSIVE earlier AS (
+  SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn
+), mail AS (
+  SELECT c.conv_id, c.turn, c.role, CASE WHEN a.text IS NULL THEN '' ELSE 'The one before wrote:' || chr(10) || '> ' || replace(a.text, chr(10), chr(10) || '> ') || chr(10)
+    || coalesce('> > ' || replace(b.text, chr(10), chr(10) || '> > ') || chr(10), '') || chr(10) END || c.text AS text
+  FROM conversations c LEFT JOIN earlier a ON a.conv_id = c.conv_id AND a.turn = c.turn - 1 LEFT JOIN earlier b ON b.conv_id = c.conv_id AND b.turn = c.turn - 2
+), m AS (""")

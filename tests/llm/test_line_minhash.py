@@ -173,3 +173,37 @@ def test_names_ids_and_texts_that_clash(spark):
     got = sorted((r.doc_id, r.text, r.doc, r.gone, r["__n_lines"], r["__n_removed"]) for r in line_minhash.dedup_lines(df).collect())
     assert [g[0] for g in got] == [1, 1, 2] and sum(g[5] for g in got) == 2 and got[2][1] == ""
     assert sorted(g[1].count("stands here") for g in got) == [0, 0, 1] and {"own" in g[1] or "other" in g[1] for g in got[:2]} == {True}
+
+
+def test_bitmaps_leave_out_no_similar_pair(spark):
+    """Pairs of any similarity: what the bitmaps rule out is below the threshold, and most of what is far below is ruled out."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(400):
+        x = "".join(rng.choices("abcdefgh é世", k=rng.choice([3, 5, 6, 30, 120, 900])))
+        y = list(x)
+        for _ in range(rng.randint(0, max(1, len(x) // 8))):
+            y[rng.randrange(len(y))] = rng.choice("abcdefghxyz")
+        rows += [(2 * k, x), (2 * k + 1, "".join(y) + rng.choice(["", "tail"]))]
+    lines = [(i, 0, 0, i, i, t) for i, t in rows]
+    signed = line_minhash._signed(spark.createDataFrame(lines, "doc long, th long, pos int, k1 long, k2 long, norm string")).cache()
+    x, y = signed.alias("x"), signed.alias("y")
+    for threshold in (0.5, 0.8, 0.95):
+        pairs = x.join(y, line_minhash.F.expr("x.doc % 2 = 0 and y.doc = x.doc + 1"))
+        left = {r.doc for r in pairs.where(line_minhash.may_be_alike("x", "y", line_minhash._BITMAP, threshold)).select("x.doc").collect()}
+        like = {i: len(shingles(rows[i][1]) & shingles(rows[i + 1][1])) / len(shingles(rows[i][1]) | shingles(rows[i + 1][1])) for i in range(0, 800, 2)}
+        assert {i for i, j in like.items() if j >= threshold} <= left
+        far = [i for i, j in like.items() if j < threshold - 0.3 and 20 < len(rows[i][1]) < 500]
+        assert sum(i in left for i in far) <= 0.1 * len(far)
+
+
+def test_lines_of_one_frame_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """600 lines that share a frame and are alike at 0.6 to 0.75: bands gather them, bitmaps leave few pairs to verify."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefghilmnoprstu", k=6))
+    frame = [word() for _ in range(16)]
+    docs = [(k, " ".join(word() if rng.random() < 0.1 else f for f in frame)) for k in range(600)]
+    verified, whole = [], line_minhash._verified
+    monkeypatch.setattr(line_minhash, "_verified", lambda pairs, *a: (verified.append(pairs.count()), whole(pairs, *a))[1])
+    removed(spark, docs)
+    assert sum(verified) < 10 * len(docs)

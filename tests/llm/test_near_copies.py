@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from gatelab.llm import bktree
 
 SCHEMA = "doc_id long, text string, n_chars long"
 
@@ -69,3 +70,20 @@ def test_null_and_repeated_ids(spark):
     docs = [(None, line("a")), (None, line("b")), (None, line("b")), (1, line("c")), (1, line("d")), (2, line("c")), (None, line("d")), (0, line("e")), (3, line("e")), (3, line("f"))]
     got = sorted(t.split()[0] + str(i) for i, t in run(spark, docs))
     assert got == ["a0None", "b0None", "c01", "d01", "e00", "f03"]
+
+
+def test_documents_of_one_frame_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """600 documents that share a frame, alike at some 0.6, and two copies: only what may be alike is verified."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    frame, docs = words(300), []
+    for k in range(600):
+        d = list(frame)
+        for at in rng.sample(range(0, 300, 10), 5):
+            d[at : at + 10] = words(10)
+        docs.append((k, " ".join(d)))
+    docs.append((600, docs[7][1] + " end"))
+    verified, whole = [], bktree._alike
+    monkeypatch.setattr(bktree, "_alike", lambda pairs, *a: (verified.append(pairs.count()), whole(pairs, *a))[1])
+    assert sorted(i for i, _ in run(spark, docs)) == list(range(600))
+    assert sum(verified) < 10 * len(docs)

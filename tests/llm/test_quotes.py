@@ -131,3 +131,16 @@ def test_mail_made_of_conversations(spark, tmp_path):
     got = con.execute(quotes.SQL)
     names = [c[0] for c in got.description]
     assert sorted((tuple(r[c] for c in names) for r in found), key=str) == sorted((tuple(r) for r in got.fetchall()), key=str)
+
+
+def test_conversations_as_mail(spark):
+    """Each message quotes the two before it, at two levels; linking finds the nearer one and gives the bodies back."""
+    rows = [("c", k, "user", f"Message {k} says this. And that,\nin {k} lines.") for k in range(6)] + [("d", 1, "user", "alone"), ("d", 9, "user", None), (None, 1, "user", "x"), ("e", None, "user", "y")]
+    mail = quotes.as_mail(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string"))
+    got = {(r.conv_id, r.turn): r for r in quotes.link_quotes(mail).collect()}
+    assert len(got) == len(rows)
+    for k in range(6):
+        r = got["c", k]
+        assert r.body == rows[k][3] and r.parent_turn == (k - 1 if k else None) and r.depth == k and r.root_turn == 0
+        assert r.n_quoted == 2 * min(k, 2) and r.max_level == min(k, 2)
+    assert got["d", 1].body == "alone" and got["d", 9].body == "" and got["d", 9].parent_turn is None
