@@ -172,16 +172,17 @@ def _members(distinct: DataFrame) -> DataFrame:
 def _unlike(x: pa.Array, y: pa.Array, threshold: float) -> np.ndarray:
     """Which rows of two columns of lines are less alike than the threshold.  Sets are counted by 32-bit hashes; where a few
     collisions could matter the shingles themselves decide."""
-    (xd, xo), (yd, yo) = utf8(x), utf8(y)
-    keys, sizes = [], []
-    for data, offsets in ((xd, xo), (yd, yo)):
-        h, row, _ = shingles(data, offsets)
-        keys.append(np.unique(row.astype(np.uint64) << np.uint64(32) | h))
-        sizes.append(np.bincount((keys[-1] >> np.uint64(32)).astype(np.int64), minlength=len(x)))
-    both = np.intersect1d(*keys, assume_unique=True)
-    shared = np.bincount((both >> np.uint64(32)).astype(np.int64), minlength=len(x))
-    over = shared - threshold * (sizes[0] + sizes[1] - shared)
-    for i in np.flatnonzero(np.abs(over) < 5):
+    keys = []
+    for side, column in enumerate((x, y)):
+        h, row, _ = shingles(*utf8(column))
+        keys.append(row.astype(np.uint64) << np.uint64(33) | h.astype(np.uint64) << np.uint64(1) | np.uint64(side))
+    keys = np.sort(np.concatenate(keys))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]  # a row, a hash, a side
+    rows, hashes = (keys >> np.uint64(33)).astype(np.int64), keys >> np.uint64(1)
+    both = np.bincount(rows, minlength=len(x))
+    shared = np.bincount(rows[1:][hashes[1:] == hashes[:-1]], minlength=len(x))
+    over = shared - threshold * (both - shared)
+    for i in np.flatnonzero(np.abs(over) < 2 + both / 1000):
         s, t = (_set(c[i].as_py()) for c in (x, y))
         over[i] = len(s & t) - threshold * len(s | t)
     return over < 0
