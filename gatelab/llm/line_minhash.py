@@ -9,7 +9,7 @@ first hash at or after a fixed point is one MinHash value, and BANDS bands of RO
 each use points far from one another.  Two lines of Jaccard similarity 0.8 meet in a band
 with a probability of some 0.98, more above (tests/llm measures it).
 
-A signature also has a bitmap of the shingles, a bit for each by its hash.  A bit that two
+Lines that share a band with another also get a bitmap of their shingles, a bit for each by its hash.  A bit that two
 lines don't share stands for a shingle at least that they don't share, so from the bits
 that differ and the number of shingles follows, for sure, that many pairs of a band can't be
 similar enough; those are left out where bands are joined, and no similar pair is.
@@ -103,8 +103,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return h[inside], row[inside], np.maximum(size - SHINGLE + 1, 1)
 
 
-def signatures(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bands (n, BANDS) and bitmaps (n, BITS) of the rows whose shingles hash to h."""
+def bands(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Bands (n, BANDS) of the rows whose shingles hash to h."""
     none = np.uint32(0xFFFFFFFF)
     first = np.full(n * POINTS, none)
     np.minimum.at(first, row * POINTS + (h >> np.uint32(33 - POINTS.bit_length())).astype(np.int32), h)
@@ -114,45 +114,54 @@ def signatures(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     where = np.minimum.accumulate(where[:, ::-1], axis=1)[:, ::-1][:, :POINTS] % POINTS
     at = np.take_along_axis(first, where, axis=1).astype(np.uint64)
     step = POINTS // ROWS
-    bands = np.empty((n, BANDS), np.uint64)
+    out = np.empty((n, BANDS), np.uint64)
     for j in range(BANDS):
         band = np.full(n, j + 1, np.uint64)
         for r in range(ROWS):
             band = mix(band * np.uint64(0x9E3779B97F4A7C15) + at[:, r * step + j * (r + 1) % BANDS])
-        bands[:, j] = band
+        out[:, j] = band
+    return out
+
+
+def bitmaps(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """Bitmaps (n, BITS) of the rows whose shingles hash to h."""
     bits = np.zeros(n * BITS * 64, bool)
     bits[row * (BITS * 64) + (h % np.uint32(BITS * 64)).astype(np.int32)] = True
-    return bands, np.packbits(bits.reshape(n, -1), axis=1, bitorder="little").view(np.uint64)
+    return np.packbits(bits.reshape(n, -1), axis=1, bitorder="little").view(np.uint64)
 
 
 _BITMAP = [f"b{k}" for k in range(BITS)]
 
 
-def _signed(lines: DataFrame) -> DataFrame:
-    """lines, of which one column is norm, with bands, many (shingles, repeats included) and the longs of the bitmap."""
+def _signed(lines: DataFrame, banded: bool = True, sketched: bool = True) -> DataFrame:
+    """lines, of which one column is norm, with bands (banded), and with many (shingles, repeats included) and the longs of the
+    bitmap (sketched)."""
     place = lines.columns.index("norm")
+    types = {f.name: f.dataType.simpleString() for f in lines.schema}
+    types |= ({"bands": "array<long>"} if banded else {}) | ({"many": "long"} | dict.fromkeys(_BITMAP, "long") if sketched else {})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(place))
             for a, b in slices(offsets, 1 << 18):
-                own = offsets[a : b + 1] - offsets[a]
-                h, row, many = shingles(data[offsets[a] : offsets[b]], own)
-                bands, bits = signatures(h, row, b - a)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * BANDS), pa.array(bands.reshape(-1).view(np.int64)))
-                columns = [c.slice(a, b - a) for c in batch.columns]
-                columns += [lists, pa.array(many.astype(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(BITS)]]
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "bands", "many", *_BITMAP])
+                n = b - a
+                h, row, many = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                columns = [c.slice(a, n) for c in batch.columns]
+                if banded:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands(h, row, n).reshape(-1).view(np.int64))))
+                if sketched:
+                    bits = bitmaps(h, row, n)
+                    columns += [pa.array(many.astype(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(BITS)]]
+                yield pa.RecordBatch.from_arrays(columns, names=list(types))
 
-    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in lines.schema)
-    return arrow_map(lines, run, f"{own}, bands array<long>, many long, " + ", ".join(f"{b} long" for b in _BITMAP))
+    return arrow_map(lines, run, ", ".join(f"{n} {t}" for n, t in types.items()))
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
-    """One row per distinct line, signed: id, k1, k2, first (doc, th, pos), n, norm, bands, many and the bitmap."""
+    """One row per distinct line: id, k1, k2, first (doc, th, pos), n, norm, bands."""
     out = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm"))
     out = out.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first.*", "n", "norm")
-    signed = _signed(out).withColumn("first", F.struct("doc", "th", "pos")).drop("doc", "th", "pos")
+    signed = _signed(out, sketched=False).withColumn("first", F.struct("doc", "th", "pos")).drop("doc", "th", "pos")
     return write_scratch(signed, "distinct-lines")
 
 
@@ -169,6 +178,15 @@ def _members(distinct: DataFrame) -> DataFrame:
     return members
 
 
+def _candidates(distinct: DataFrame, members: DataFrame) -> DataFrame:
+    """id, norm, many and the bitmap of the lines that share a band with another: nothing else is looked at again."""
+    ids = write_scratch(members.select("id").distinct(), "candidate-ids")
+    few = ids.count() <= BROADCAST_LINES
+    out = write_scratch(_signed(distinct.select("id", "norm").join(F.broadcast(ids) if few else ids, "id", "left_semi"), banded=False), "candidates")
+    drop_scratch(ids)
+    return out
+
+
 def _unlike(x: pa.Array, y: pa.Array, threshold: float) -> np.ndarray:
     """Which rows of two columns of lines are less alike than the threshold.  Sets are counted by 32-bit hashes; where a few
     collisions could matter the shingles themselves decide."""
@@ -221,14 +239,14 @@ def _apart(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFra
 
 def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """docs: __doc, __text.  The distinct lines, and node, component for those that have links."""
-    distinct = _distinct(_signed(_lines(docs)))
-    sketches = distinct.select("id", "many", *_BITMAP)
+    distinct = _distinct(_lines(docs))
     members = _members(distinct)
+    candidates = _candidates(distinct, members)
+    sketches, texts = candidates.select("id", "many", *_BITMAP), candidates.select("id", "norm")
     pairs = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     x, y = sketches.alias("x"), sketches.alias("y")
     pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
     pairs = write_scratch(pairs.where(may_be_alike("x", "y", _BITMAP, threshold)).select("a", "b"), "pairs")
-    texts = distinct.select("id", "norm")
     links = write_scratch(_verified(pairs, texts, threshold), "line-links")
     found = write_scratch(connected_components(links), "line-components")
     drop_scratch(links)
@@ -256,7 +274,7 @@ def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
             drop_scratch(found)
             found = now
         drop_scratch(more)
-    drop_scratch(members, *tested)
+    drop_scratch(members, candidates, *tested)
     return distinct, found
 
 
