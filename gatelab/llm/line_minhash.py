@@ -49,7 +49,7 @@ BITS = 16  # longs of a bitmap
 #: Lines of a band that meet the others in each round after the first, as expected; the last round takes all that are left.
 ROUNDS = (16,)
 
-#: Candidate pairs, and bands that hold several lines, are looked up by a broadcast up to this many (about 60 MB), else by a shuffle.
+#: The lines of candidate pairs are looked up by a broadcast up to this many pairs (about 60 MB), else by a shuffle.
 BROADCAST_LINES = 500_000
 
 
@@ -158,33 +158,28 @@ def _signed(lines: DataFrame, banded: bool = True, sketched: bool = True) -> Dat
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
-    """One row per distinct line: id, k1, k2, first (doc, th, pos), n, norm, bands."""
+    """One row per distinct line: id, k1, k2, first (doc, th, pos), n, norm."""
     out = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "th", "pos")).alias("first"), F.count("*").alias("n"), F.first("norm").alias("norm"))
-    out = out.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first.*", "n", "norm")
-    signed = _signed(out, sketched=False).withColumn("first", F.struct("doc", "th", "pos")).drop("doc", "th", "pos")
-    return write_scratch(signed, "distinct-lines")
+    return write_scratch(out.select(F.monotonically_increasing_id().alias("id"), "k1", "k2", "first", "n", "norm"), "distinct-lines")
 
 
 def _members(distinct: DataFrame) -> DataFrame:
     """band, id, hub, m: the lines of all bands that hold two or more, the most frequent line of each, and how many it has."""
-    rows = distinct.select("id", "n", F.explode("bands").alias("band"))
+    signed = write_scratch(_signed(distinct.select("id", "n", "norm"), sketched=False).select("id", "n", "bands"), "bands")
+    rows = signed.select("id", "n", F.explode("bands").alias("band"))
     # count and id in one number, for a grouped maximum of fixed width
     order = F.shiftleft(F.least("n", F.lit(255)), 55) - F.col("id")
     hubs = write_scratch(rows.groupBy("band").agg(F.max(order).alias("top"), F.count("*").alias("m")).where("m > 1"), "hubs")
-    few = hubs.count() <= BROADCAST_LINES
-    members = rows.join(F.broadcast(hubs) if few else hubs, "band").select("band", "id", F.pmod(-F.col("top"), F.lit(1 << 55)).alias("hub"), "m")
+    members = rows.join(hubs.hint("merge"), "band").select("band", "id", F.pmod(-F.col("top"), F.lit(1 << 55)).alias("hub"), "m")
     members = write_scratch(members, "band-members")
-    drop_scratch(hubs)
+    drop_scratch(signed, hubs)
     return members
 
 
 def _candidates(distinct: DataFrame, members: DataFrame) -> DataFrame:
     """id, norm, many and the bitmap of the lines that share a band with another: nothing else is looked at again."""
-    ids = write_scratch(members.select("id").distinct(), "candidate-ids")
-    few = ids.count() <= BROADCAST_LINES
-    out = write_scratch(_signed(distinct.select("id", "norm").join(F.broadcast(ids) if few else ids, "id", "left_semi"), banded=False), "candidates")
-    drop_scratch(ids)
-    return out
+    shared = distinct.select("id", "norm").join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    return write_scratch(_signed(shared, banded=False), "candidates")
 
 
 def _unlike(x: pa.Array, y: pa.Array, threshold: float) -> np.ndarray:
