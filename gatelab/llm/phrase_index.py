@@ -155,7 +155,7 @@ class Segment:
 
 
 def build_index(docs: DataFrame, terms: np.ndarray | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored index: a row per segment with doc_ids, first (first position of each document, and the end) and
+    """The index as a table, for a caller to write: a row per segment with doc_ids, first (first position of each document, and the end) and
     postings, all packed int64.  terms: sorted hashes of the terms to store."""
     wanted = docs.sparkSession.sparkContext.broadcast(np.asarray(terms, np.uint64))
 
