@@ -124,8 +124,10 @@ class Fixtures:
     def audio_paths(self) -> DataFrame:
         folder = lambda kind: F.concat(F.lit(kind + "/"), "phoneme_type", F.lit("/"), "stem")
         gates = F.transform(F.expr("sequence(1, 6)"), lambda g: F.when(F.col("n_gates") >= g, F.concat(folder("gated"), g.cast("string"), F.lit(".wav"))))
-        whole = F.when(F.col("label_id") % 23 != 0, F.concat(folder("original"), F.lit(".wav")))
-        return self.stimuli().select(F.explode(F.array_append(gates, whole)).alias("path")).where("path is not null").distinct()
+        whole = F.when(F.col("original"), F.concat(folder("original"), F.lit(".wav")))
+        # stimuli of one name give the same paths: taken once before they are multiplied
+        stimuli = self.stimuli().select("phoneme_type", "stem", "n_gates", (F.col("label_id") % 23 != 0).alias("original")).distinct()
+        return stimuli.select(F.explode(F.array_append(gates, whole)).alias("path")).where("path is not null").distinct()
 
 
 # --- as files, under a folder that all executors share -------------------------------------------

@@ -51,6 +51,16 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return rows.select("path", (F.col("pos") + F.col("shift")).alias("line_no"), "line")
 
 
+def ordered_lines(lines: DataFrame) -> DataFrame:
+    """at, line from read_lines: at is a long that ascends with paths, parts and lines, where place would be wide and could be compared
+    in sorted aggregates only.  Splits are ranked by themselves, a row for each split."""
+    split = ["path", "place.part", "place.start"]
+    rank = F.row_number().over(Window.orderBy("path", "part", "start")).cast("long")
+    ranks = lines.select(*split).distinct().select("path", "part", "start", rank.alias("rank"))
+    rows = lines.select(*split, "place.pos", "line").join(F.broadcast(ranks), ["path", "part", "start"])
+    return rows.select(F.shiftleft("rank", 33).bitwiseOR(F.col("pos").bitwiseAND(F.lit((1 << 33) - 1))).alias("at"), "line")
+
+
 def parse_trial_logs(lines: DataFrame) -> DataFrame:
     """raw_lines(pp_id, gate, line_no, line) from numbered lines of files named pp<NN>_gate<G>; empty lines are dropped, blank
     ones stay."""
@@ -69,7 +79,7 @@ def scan_trial_logs(spark: SparkSession, root: str, pp_ids=LISTENERS, gates=GATE
 def parse_gate_timestamps(lines: DataFrame) -> DataFrame:
     """filename, ts: two-field numeric lines; of equal names the last line counts, by file and place."""
     cells = F.split("line", ",")
-    rows = lines.where(F.size(cells) == 2).select(F.struct("path", "place").alias("at"), cells[0].alias("filename"), number(cells[1]).alias("ts"))
+    rows = ordered_lines(lines).where(F.size(cells) == 2).select("at", cells[0].alias("filename"), number(cells[1]).alias("ts"))
     return rows.where("ts is not null").groupBy("filename").agg(F.max_by("ts", "at").alias("ts"))
 
 
