@@ -4,6 +4,8 @@ What can grow is read line by line, so that a large file is split and no row hol
 trial logs and gate timestamps.  Such a file may also be a folder of its name that holds
 parts in the order of their names, as Spark writes them; the folder may be named key=name.
 Label files and matrices are a few lines each by their nature, and a row holds one whole.
+Spark lists files in the driver and opens them one by one, so label files of any number come
+in bundles: large files whose records are label files.
 """
 
 from __future__ import annotations
@@ -96,6 +98,16 @@ def read_whole(spark: SparkSession, paths: str | list[str], glob: str | None = N
     return reader.select(plain_path(F.col("_metadata.file_path")).alias("path"), "value")
 
 
+#: What stands after each record of a bundle: ASCII's record separator, which no text file holds.
+BETWEEN = "\x1e"
+
+
+def read_bundle(spark: SparkSession, root: str) -> DataFrame:
+    """path, value: the files that sinks.write_bundle has put together, in splits."""
+    path = F.substring_index("value", "\n", 1)
+    return spark.read.text(root, lineSep=BETWEEN).select(path.alias("path"), F.substring("value", F.length(path) + 2, F.length("value")).alias("value"))
+
+
 def parse_label_files(files: DataFrame, strict: bool = False) -> DataFrame:
     """path, line_no, line, time, code, label, ok: the lines after the first line '#'.  A line is a float, an int and a
     text, divided by spaces.  With strict, a bad line or a file without '#' raises an error; else ok is false (a file
@@ -120,6 +132,11 @@ def scan_label_files(spark: SparkSession, root: str, strict: bool = False) -> Da
     return parse_label_files(read_whole(spark, root, "*.lab"), strict)
 
 
+def scan_label_bundle(spark: SparkSession, root: str, strict: bool = False) -> DataFrame:
+    """The label files of a bundle."""
+    return parse_label_files(read_bundle(spark, root), strict)
+
+
 def parse_confusion_matrices(files: DataFrame) -> DataFrame:
     """position, gate, gt, gt_ord, hyp, hyp_ord, n from files phon<P>_conf_matrix_gate<G>.dat; symbols become IPA."""
     part = lambda k: F.regexp_extract(base_name(F.col("path")), "^phon([0-9])_conf_matrix_gate([0-9])[.]dat$", k).try_cast("int")

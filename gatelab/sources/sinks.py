@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatelab.sources.files import BETWEEN
+
 
 def write_confusion_json(nested: DataFrame, path: str, single: bool = False) -> None:
     """A record per listener, {"participant": "pp1", "confusion": {...}}; with single, one object of all listeners in one
@@ -62,6 +64,15 @@ def write_label_json(info: DataFrame, path: str, responses: DataFrame | None = N
     label_json(info, responses).orderBy("phoneme1", "phoneme2", "coding", "part").select("value").write.text(path)
 
 
+def write_bundle(files: DataFrame, root: str) -> None:
+    """files: path, value.  Many small files as a bundle, for files.read_bundle: a folder of a few large files, in which each record
+    is a path, a line end and the text as it is.  A record that could not be told apart raises an error."""
+    odd = F.col("path").contains("\n") | F.col("path").contains(BETWEEN) | F.col("value").contains(BETWEEN)
+    record = F.concat("path", F.lit("\n"), F.coalesce("value", F.lit("")))
+    record = F.when(F.coalesce(odd, F.col("path").isNull()), F.raise_error(F.concat(F.lit("can't be bundled: "), F.coalesce("path", F.lit("null")))).cast("string")).otherwise(record)
+    files.select(record.alias("value")).write.option("lineSep", BETWEEN).text(root)
+
+
 def write_files(files: DataFrame, root: str) -> int:
     """files: path (below root), value.  Writes each row as one file of that name from the tasks that hold the rows, and says how
     many; for files that fit a row.  root: a folder that all executors share, with or without a scheme.  A task that runs
