@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatelab.functions.phonemes import CODINGS, lookup
@@ -135,11 +137,13 @@ def attach_label(trials: DataFrame, labels: DataFrame | None = None) -> DataFram
     return out.select(*trials.columns, "label_id", F.coalesce("n_labels", F.lit(0)).alias("n_labels"))
 
 
-def ambiguous_labels(trials: DataFrame, labels: DataFrame) -> DataFrame:
-    """Trials whose key has several labels, with all of them by filename."""
+def ambiguous_labels(trials: DataFrame, labels: DataFrame, show: Callable[[Column], Column] = lambda ids: ids) -> DataFrame:
+    """Trials whose key has several labels, with all of them by filename.  The list of a key is made, and given the form of show,
+    once: file names don't travel to the trials, and nothing is done for each trial and label."""
     several = labels.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("filename", "label_id"))).alias("all")).where("size(all) > 1")
+    several = computed(several.select(*KEY, F.size("all").alias("n_labels"), show(F.transform("all", lambda x: x["label_id"])).alias("label_ids")))
     out = _keyed(trials).join(several, KEY).withColumnsRenamed({"phoneme1": "gt1", "phoneme2": "gt2"})
-    return out.select("pp_id", "gate", "line_no", F.size("all").alias("n_labels"), F.transform("all", lambda x: x["label_id"]).alias("label_ids"))
+    return out.select("pp_id", "gate", "line_no", "n_labels", "label_ids")
 
 
 def unmatched_trials(trials: DataFrame, labels: DataFrame) -> DataFrame:
