@@ -19,12 +19,13 @@ document of that id each; a null id is no smaller than any id, so a component of
 ids alone has a null component_id.  An empty table gives an empty one.  Other
 columns are not read.
 
-`keep_one` (the stage of the pipeline) reaches further than fingerprints can: near copies
-are documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-At 0.8 fingerprints are some ten of 64 bits apart, where pigeonhole blocks tell nothing
-apart, so candidates come from 16 bands of five MinHash values (998 of 1000 pairs at 0.8
-meet in a band, more above) and are verified exactly.  Documents without words are copies
-of each other.
+`keep_one` (the stage of the pipeline) takes the same steps over five-word shingles:
+fingerprints, BK-trees in shards, union-find; links are verified exactly, as near copies
+are documents whose sets of these shingles have a Jaccard similarity of 0.8 or more.  At
+0.8 fingerprints are some ten of 64 bits apart, where pigeonhole blocks tell nothing apart,
+so what is still unconnected meets in 16 bands of five MinHash values too (998 of 1000
+pairs at 0.8 do, more above) and is verified alike.  Documents without words are copies of
+each other.
 """
 
 from __future__ import annotations
@@ -41,8 +42,8 @@ from gatelab.llm.runtime import LOWER, SPACED, arrow_map, drop_scratch, mix, sli
 
 BITS = 64
 BANDS, BAND_ROWS = 16, 5
-BITS = 16  # longs of a bitmap of shingles
-_BITMAP = [f"b{k}" for k in range(BITS)]
+LONGS = 16  # of a bitmap of shingles
+_BITMAP = [f"b{k}" for k in range(LONGS)]
 _PERMUTED = mix(np.arange(1, BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _WORD = np.cumprod(np.full(64, 0xA0761D6478BD642F, np.uint64))
 
@@ -74,13 +75,18 @@ def _simhashes(data: np.ndarray, offsets: np.ndarray, width: int, seed: int) ->
     tail = np.minimum(head + width, first[1:][rows]) - 1
     a, b = to[head].tolist(), (to + size)[tail].tolist()
     h = np.fromiter((xxh64_intdigest(line[i:j], seed) for i, j in zip(a, b)), np.uint64, len(a))
-    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     filled = np.flatnonzero(shingles)
-    ones = np.add.reduceat(bits, (np.cumsum(shingles) - shingles)[filled], axis=0, dtype=np.int64)
-    out[filled] = np.packbits(2 * ones > shingles[filled, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    out[filled] = _majority(h, (np.cumsum(shingles) - shingles)[filled], shingles[filled])
     return out
 
 
+def _majority(h: np.ndarray, at: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """The fingerprints of rows whose shingles hash to h; at: where the rows begin, many: how many each has, none 0."""
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > many[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """doc_id, fp (the fingerprint as a signed long)."""
 
@@ -228,27 +234,28 @@ def _sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray
 
 
 def _signed(rows: DataFrame, width: int) -> DataFrame:
-    """rows: row, text.  Returns row, k1, k2 (equal for equal bags of shingles), bands, many (shingles, repeats included) and the
-    longs of a bitmap of the shingles."""
+    """rows: row, text.  Returns row, k1, k2 (equal for equal bags of shingles), fp (the fingerprint over these shingles), bands, many
+    (shingles, repeats included) and the longs of a bitmap of the shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column(1))
             n = batch.num_rows
             keys, bands = np.zeros((2, n), np.uint64), np.zeros((n, BANDS), np.uint64)
-            filled = np.zeros(n, bool)
-            many, bits = np.zeros(n, np.int64), np.zeros((n, BITS), np.uint64)
+            filled, prints = np.zeros(n, bool), np.zeros(n, np.uint64)
+            many, bits = np.zeros(n, np.int64), np.zeros((n, LONGS), np.uint64)
             for a, b in slices(offsets, 1 << 20):
                 h, to = _sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 many[a:b] = np.diff(to)
-                held = np.zeros((b - a) * BITS * 64, bool)
-                held[np.repeat(np.arange(b - a), np.diff(to)) * (BITS * 64) + (h % np.uint64(BITS * 64)).astype(np.int64)] = True
+                held = np.zeros((b - a) * LONGS * 64, bool)
+                held[np.repeat(np.arange(b - a), np.diff(to)) * (LONGS * 64) + (h % np.uint64(LONGS * 64)).astype(np.int64)] = True
                 bits[a:b] = np.packbits(held.reshape(b - a, -1), axis=1, bitorder="little").view(np.uint64)
                 full = np.flatnonzero(np.diff(to))
                 if not len(full):
                     continue
                 at = to[full]
                 filled[a + full] = True
+                prints[a + full] = _majority(h, at, np.diff(to)[full])
                 for k in range(2):
                     keys[k, a + full] = np.add.reduceat(mix(h + np.uint64(k + 1)), at)
                 for k in range(BANDS):
@@ -258,12 +265,12 @@ def _signed(rows: DataFrame, width: int) -> DataFrame:
                     bands[a + full, k] = band
             to = np.concatenate([[0], np.cumsum(np.where(filled, BANDS, 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(to), pa.array(bands[filled].reshape(-1).view(np.int64)))
-            sketch = [pa.array(many), *[pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(BITS)]]
+            sketch = [pa.array(many), *[pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(LONGS)]]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists, *sketch], names=["row", "k1", "k2", "bands", "many", *_BITMAP]
+                [batch.column(0), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), pa.array(prints.view(np.int64)), lists, *sketch], names=["row", "k1", "k2", "fp", "bands", "many", *_BITMAP]
             )
 
-    return arrow_map(rows, run, "row long, k1 long, k2 long, bands array<long>, many long, " + ", ".join(f"{b} long" for b in _BITMAP))
+    return arrow_map(rows, run, "row long, k1 long, k2 long, fp long, bands array<long>, many long, " + ", ".join(f"{b} long" for b in _BITMAP))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -284,15 +291,25 @@ def _alike(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) ->
     return arrow_map(both.select("a", "b", "x", "y"), run, "a long, b long")
 
 
-def copy_groups(rows: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+def _print_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect whatever fingerprints connect: each with the least of its fingerprint, and those by the BK-trees."""
+    first = write_scratch(nodes.groupBy("fp").agg(F.min("node").alias("node")), "simhash-nodes")
+    same = nodes.select("node", "fp").join(first.withColumnRenamed("node", "least"), "fp").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return same.union(hamming_links(first, radius))
+
+
+def copy_groups(rows: DataFrame, width: int = 5, threshold: float = 0.8, radius: int = 2) -> DataFrame:
     """rows: row (distinct longs), text.  Returns row, group: groups are connected by pairs of that Jaccard similarity or more.
 
-    Rows of equal bags of shingles are one node.  Nodes meet in bands of a MinHash signature.  In every band each node is
+    Rows of equal bags of shingles are one node.  Fingerprints of the nodes are linked by BK-trees in shards, as in
+    simhash_components, and these links are verified exactly; union-find over them gives the first components.  What is further
+    apart than fingerprints reach, or hung together by a link that verification drops, is looked for among nodes of different
+    components: they meet in bands of a MinHash signature.  In every band each node is
     compared with one of its nodes, drawn by hash for each band, then those of other components than that one's with the
     nodes of all components but their own: a pair of a band is compared or already connected.  Pairs that bitmaps of the
     shingles show to be less alike are left out where bands are joined; only of the others do texts meet."""
     signed = write_scratch(_signed(rows, width), "signed")
-    same = [F.first(c).alias(c) for c in ("bands", "many", *_BITMAP)]
+    same = [F.first(c).alias(c) for c in ("fp", "bands", "many", *_BITMAP)]
     nodes = write_scratch(signed.groupBy("k1", "k2").agg(F.min("row").alias("node"), *same), "nodes")
     sketches = nodes.select("node", "many", *_BITMAP)
     alike = may_be_alike("x", "y", _BITMAP, threshold)
@@ -300,28 +317,39 @@ def copy_groups(rows: DataFrame, width: int = 5, threshold: float = 0.8) -> Data
     each = nodes.select("node", F.explode("bands").alias("band"))
     hubs = each.groupBy("band").agg(F.max(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("top"), F.count("*").alias("m")).where("m > 1")
     members = write_scratch(each.join(hubs.select("band", F.col("top.node").alias("hub")), "band"), "members")
-    ordered = [F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")]
-    pairs = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).select(*ordered).distinct()
-    pairs = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
-    pairs = write_scratch(pairs.where(alike).select("a", "b"), "pairs")
-    links = write_scratch(_alike(pairs, texts, width, threshold), "copy-links")
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Those pairs that bitmaps don't rule out, and of these the links."""
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        pairs = pairs.join(sketches.alias("x"), F.col("a") == F.col("x.node")).join(sketches.alias("y"), F.col("b") == F.col("y.node"))
+        pairs = write_scratch(pairs.where(alike).select("a", "b"), "pairs")
+        return pairs, write_scratch(_alike(pairs, texts, width, threshold), "copy-links")
+
+    def placed(found: DataFrame) -> DataFrame:
+        """The members of bands with their components, and those of their hubs."""
+        of = found.select("node", F.col("component").alias("c"))
+        hub_of = found.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
+        return members.join(of, "node", "left").join(hub_of, "hub", "left").select("band", "node", "hub", F.coalesce("c", "node").alias("c"), F.coalesce("hc", "hub").alias("hc"))
+
+    near, near_links = verified(_print_pairs(nodes, radius))
+    first = write_scratch(connected_components(near_links), "copy-components")
+    met, met_links = verified(placed(first).where("c <> hc").select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    pairs, links = near.union(met), near_links.union(met_links)
     found = write_scratch(connected_components(links), "copy-components")
 
-    of = found.select("node", F.col("component").alias("c"))
-    hub_of = found.select(F.col("node").alias("hub"), F.col("component").alias("hc"))
-    at = members.join(of, "node", "left").join(hub_of, "hub", "left").select("band", "node", F.coalesce("c", "node").alias("c"), F.coalesce("hc", "hub").alias("hc"))
+    at = placed(found).drop("hub")
     apart = write_scratch(at.where("c <> hc"), "apart")
     others = at.join(apart.select("band").distinct(), "band", "left_semi").join(sketches, "node").alias("y")
     cross = apart.join(sketches, "node").alias("x").join(others, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & alike)
-    cross = cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).select(*ordered).distinct()
+    cross = cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     more = write_scratch(_alike(cross.join(pairs, ["a", "b"], "left_anti"), texts, width, threshold), "copy-links")
     if more.limit(1).count():
-        first, found = found, write_scratch(connected_components(links.union(more)), "copy-components")
-        drop_scratch(first)
-    drop_scratch(members, pairs, apart, more)
+        before, found = found, write_scratch(connected_components(links.union(more)), "copy-components")
+        drop_scratch(before)
+    drop_scratch(members, near, met, apart, more)
     groups = nodes.join(found, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("group"))
     out = write_scratch(signed.join(groups, ["k1", "k2"]).select("row", "group"), "copy-groups")
-    drop_scratch(signed, nodes, links, found)
+    drop_scratch(signed, nodes, first, near_links, met_links, found)
     return out
 
 
