@@ -1,25 +1,27 @@
-"""Fuzzy line dedup by MinHash: lines, bands, components and removal in DataFrame functions, signatures and verification in numpy.
+"""Fuzzy line dedup by MinHash in DataFrame functions.
 
 Lines are compared in lower case and trimmed.  Lines that are then equal are one
 distinct line, known by 128 bits of hashes and by its first place (smallest document
 id, then a hash of the text, then line number).
 
-A line is signed by all its shingles of 5 characters.  Their hashes lie on a circle; the
+A line is signed by its windows of WINDOW characters.  Their hashes lie on a circle; the
 first hash at or after a fixed point is one MinHash value, and BANDS bands of ROWS values
-each use points far from one another.  Two lines of Jaccard similarity 0.8 meet in a band
-with a probability of some 0.98, more above (tests/llm measures it).
+each use points far from one another.  Of long lines, windows far from any point are left out of the
+minimum that they could hardly be (FIRST, PLENTY).  tests/llm measures how many pairs of Jaccard similarity 0.8 meet in a band.
 
-Lines that share a band with another also get a bitmap of their shingles, a bit for each by its hash.  A bit that two
+Lines that share a band with another also get a bitmap of their shingles of 5 characters, a bit for each by its hash.  A bit that two
 lines don't share stands for a shingle at least that they don't share, so from the bits
 that differ and the number of shingles follows, for sure, that many pairs of a band can't be
 similar enough; those are left out where bands are joined, and no similar pair is.
 
-What is left is verified exactly: Jaccard similarity of the sets of all 5-character
-shingles.  In a band each line is first verified against the band's
+What is left is verified: Jaccard similarity of the sets of all 5-character
+shingles, by 64-bit hashes.  In a band each line is first verified against the band's
 most frequent line.  After union-find over the links, lines of one band and different
-components are verified in rounds: in each, a few more lines of every band meet the lines
+components are compared in rounds: in each, a few more lines of every band meet the lines
 of other components, and links found spare the rounds that follow.  So every pair of a
-band is either compared or already connected.
+band is either compared or already connected.  Rounds compare inside the join, by sets of 32-bit hashes with room for
+collisions, so only pairs that are alike become rows; the comparisons themselves still grow with the
+square of the lines of a band that stay unconnected.
 
 One line of each component stays, the first; the others are removed from their
 documents.  Blank lines stay.  Documents without a text keep their null, empty texts stay
@@ -31,130 +33,88 @@ whatever their names; those named `__n_lines` or `__n_removed` are replaced.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatelab.llm.components import connected_components, may_be_alike
-from gatelab.llm.runtime import arrow_map, drop_scratch, mix, slices, utf8, write_scratch
+from gatelab.llm.runtime import drop_scratch, write_scratch
 
 SHINGLE = 5
-BANDS, ROWS = 11, 5  # a prime number of bands, so that none share a point
-POINTS = 64  # a power of two, BANDS * ROWS or more
+WINDOW = 12  # characters of what is signed
+BANDS, ROWS = 11, 2
+POINTS = BANDS * ROWS
+NEXT = 8  # points of which the first with a hash counts
+FIRST, PLENTY = 64, 4  # of a line's windows all the first are signed, of the others those among the PLENTY nearest to a point, as expected
 BITS = 16  # longs of a bitmap
 
 #: Lines of a band that meet the others in each round after the first, as expected; the last round takes all that are left.
 ROUNDS = (16,)
 
-#: The lines of candidate pairs are looked up by a broadcast up to this many pairs (about 60 MB), else by a shuffle.
+#: The lines of candidate pairs are looked up by a broadcast up to this many lines, else by a shuffle.
 BROADCAST_LINES = 500_000
 
 
+_WHITE = " \t\r\f\x0b"
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc, th (hash of the text), pos, norm, k1, k2 for every line that isn't blank; docs has __doc and __text."""
-    rows = docs.where("__doc is not null").select(F.col("__doc").alias("doc"), F.xxhash64("__text").alias("th"), F.posexplode(F.split("__text", "\n")).alias("pos", "line"))
-    rows = rows.withColumn("norm", F.btrim(F.lower("line"), F.lit(" \t\r\f\x0b"))).drop("line")
-    return rows.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(7), "norm")}).where("norm <> ''")
-
-
-def characters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of rows of UTF-8 bytes: a number for each character (its bytes), and for each row the number of its first one (n + 1)."""
-    starts = np.flatnonzero((data & 0xC0) != 0x80)
-    if len(starts) == len(data):
-        return data.astype(np.uint32), offsets
-    ends = np.append(starts[1:], len(data))
-    out = data[starts].astype(np.uint32)
-    for k in range(1, 4):
-        more = np.flatnonzero(ends - starts > k)
-        out[more] = out[more] << np.uint32(8) | data[starts[more] + k]
-    return out, np.searchsorted(starts, offsets)
-
-
-_FACTOR = np.cumprod(np.full(SHINGLE, 0x9E3779B1, np.uint32), dtype=np.uint32)
-
-
-def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """32-bit hashes of the shingles of rows (none empty), repeats included; the row of each; how many each row has.  A row of
-    fewer characters is its own only shingle."""
-    chars, first = characters(data, offsets)
-    size = np.diff(first)
-    short = np.flatnonzero(size < SHINGLE)
-    wide = np.append(chars, np.zeros(SHINGLE, np.uint32))
-    n = len(chars)
-    h = wide[:n] * _FACTOR[0]
-    for k in range(1, SHINGLE):
-        h += wide[k : n + k] * _FACTOR[k]
-    for i in short:  # not what comes after it
-        h[first[i]] = (chars[first[i] : first[i + 1]] * _FACTOR[: size[i]]).sum(dtype=np.uint32)
-    # the finaliser of MurmurHash3
-    h ^= h >> np.uint32(16)
-    h *= np.uint32(0x85EBCA6B)
-    h ^= h >> np.uint32(13)
-    h *= np.uint32(0xC2B2AE35)
-    h ^= h >> np.uint32(16)
-    # windows that would reach into the next row are none
-    inside = np.ones(n, bool)
-    for k in range(1, SHINGLE):
-        inside[np.maximum(first[1:] - k, first[:-1] + 1)[size > 1]] = False
-    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
-    return h[inside], row[inside], np.maximum(size - SHINGLE + 1, 1)
-
-
-def bands(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Bands (n, BANDS) of the rows whose shingles hash to h."""
-    none = np.uint32(0xFFFFFFFF)
-    first = np.full(n * POINTS, none)
-    np.minimum.at(first, row * POINTS + (h >> np.uint32(33 - POINTS.bit_length())).astype(np.int32), h)
-    first = first.reshape(n, POINTS)
-    # points without a hash up to the next point take that of the next, around the circle
-    where = np.where(np.tile(first != none, 2), np.arange(2 * POINTS), 2 * POINTS - 1)
-    where = np.minimum.accumulate(where[:, ::-1], axis=1)[:, ::-1][:, :POINTS] % POINTS
-    at = np.take_along_axis(first, where, axis=1).astype(np.uint64)
-    step = POINTS // ROWS
-    out = np.empty((n, BANDS), np.uint64)
-    for j in range(BANDS):
-        band = np.full(n, j + 1, np.uint64)
-        for r in range(ROWS):
-            band = mix(band * np.uint64(0x9E3779B97F4A7C15) + at[:, r * step + j * (r + 1) % BANDS])
-        out[:, j] = band
-    return out
-
-
-def bitmaps(h: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """Bitmaps (n, BITS) of the rows whose shingles hash to h."""
-    bits = np.zeros(n * BITS * 64, bool)
-    bits[row * (BITS * 64) + (h % np.uint32(BITS * 64)).astype(np.int32)] = True
-    return np.packbits(bits.reshape(n, -1), axis=1, bitorder="little").view(np.uint64)
+    # what is the document's is computed before lines are, or it would be computed for each of them
+    rows = docs.where("__doc is not null").select(F.col("__doc").alias("doc"), F.xxhash64("__text").alias("th"), F.split("__text", "\n").alias("lines"))
+    rows = rows.select("doc", "th", F.posexplode("lines").alias("pos", "line"))
+    starts = reduce(or_, [F.startswith("line", F.lit(c)) for c in _WHITE])
+    ends = reduce(or_, [F.endswith("line", F.lit(c)) for c in _WHITE])
+    trimmed = F.btrim("line", F.lit(_WHITE))
+    rows = rows.where((F.col("line") != "") & (~starts | (trimmed != "")))
+    rows = rows.select("doc", "th", "pos", F.lower(F.when(starts | ends, trimmed).otherwise(F.col("line"))).alias("norm"))
+    return rows.withColumns({"k1": F.xxhash64("norm"), "k2": F.xxhash64(F.lit(7), "norm")})
 
 
 _BITMAP = [f"b{k}" for k in range(BITS)]
 
 
+def _windows(width: int) -> Column:
+    """How many windows of that many characters a line has, repeats included; u has four bytes for each character.  A line of fewer
+    characters is its own only window."""
+    return F.greatest(F.length("u") / 4 - (width - 1), F.lit(1)).cast("long")
+
+
+def _window(i: str, width: int) -> str:
+    return f"xxhash64(substring(u, cast(4 * ({i}) + 1 as int), {4 * width}))"
+
+
 def _signed(lines: DataFrame, banded: bool = True, sketched: bool = True) -> DataFrame:
-    """lines, of which one column is norm, with bands (banded), and with many (shingles, repeats included) and the longs of the
-    bitmap (sketched)."""
-    place = lines.columns.index("norm")
-    types = {f.name: f.dataType.simpleString() for f in lines.schema}
-    types |= ({"bands": "array<long>"} if banded else {}) | ({"many": "long"} | dict.fromkeys(_BITMAP, "long") if sketched else {})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column(place))
-            for a, b in slices(offsets, 1 << 18):
-                n = b - a
-                h, row, many = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                columns = [c.slice(a, n) for c in batch.columns]
-                if banded:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(bands(h, row, n).reshape(-1).view(np.int64))))
-                if sketched:
-                    bits = bitmaps(h, row, n)
-                    columns += [pa.array(many.astype(np.int64)), *[pa.array(np.ascontiguousarray(bits[:, k]).view(np.int64)) for k in range(BITS)]]
-                yield pa.RecordBatch.from_arrays(columns, names=list(types))
-
-    return arrow_map(lines, run, ", ".join(f"{n} {t}" for n, t in types.items()))
+    """The columns of lines but norm, which tell lines apart, with bands (banded), and with many (shingles, repeats included) and the
+    longs of the bitmap (sketched)."""
+    keys = [c for c in lines.columns if c != "norm"]
+    rows = lines.select(*keys, F.encode("norm", "UTF-32").alias("u"))
+    rows = rows.withColumns({"many": _windows(SHINGLE), "wide": _windows(WINDOW)})
+    rows = rows.select(*keys, "u", "many", "wide", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many" if sketched else "wide") - 1)).alias("i"))
+    sums, out = [], list(keys)
+    if banded:
+        # the i-th window, or once more the last
+        rows = rows.withColumn("h", F.expr(_window("least(i, wide - 1)", WINDOW)))
+        rows = rows.withColumn("q", F.shiftrightunsigned("h", 33) * POINTS)
+        rows = rows.withColumns({"at": F.shiftright("q", 31), "v": F.shiftrightunsigned("h", 1)})
+        if not sketched:
+            rows = rows.where((F.col("i") < FIRST) | (F.col("q").bitwiseAND((1 << 31) - 1) * F.col("wide") <= PLENTY * POINTS * (1 << 31)))
+        sums += [F.min(F.when(F.col("at") == k, F.col("v"))).alias(f"p{k}") for k in range(POINTS)]
+    if sketched:
+        rows = rows.withColumn("g", F.expr(_window("i", SHINGLE)))
+        rows = rows.withColumns({"word": F.shiftrightunsigned("g", 6).bitwiseAND(BITS - 1), "bit": F.expr("shiftleft(1L, cast(g & 63 as int))")})
+        sums += [F.max("many").alias("many"), *[F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(b) for k, b in enumerate(_BITMAP)]]
+    signed = rows.groupBy(*keys).agg(*sums)
+    if banded:
+        points = [f"p{k}" for k in range(POINTS)]
+        signed = signed.withColumn("least", F.least(*points))
+        # a point without a hash up to the next takes that of the next, around the circle
+        value = [F.coalesce(*[points[(k + j) % POINTS] for j in range(NEXT)], "least") for k in range(POINTS)]
+        signed = signed.withColumn("bands", F.array(*[F.xxhash64(F.lit(j), *[value[j + r * BANDS] for r in range(ROWS)]) for j in range(BANDS)]))
+        out.append("bands")
+    return signed.select(*out, *(["many", *_BITMAP] if sketched else []))
 
 
 def _distinct(lines: DataFrame) -> DataFrame:
@@ -177,50 +137,35 @@ def _members(distinct: DataFrame) -> DataFrame:
 
 
 def _candidates(distinct: DataFrame, members: DataFrame) -> DataFrame:
-    """id, norm, many and the bitmap of the lines that share a band with another: nothing else is looked at again."""
-    shared = distinct.select("id", "norm").join(members.select("id").distinct().hint("merge"), "id", "left_semi")
+    """id, many and the bitmap of the lines that share a band with another: nothing else is looked at again."""
+    shared = distinct.select("id", "norm").join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
     return write_scratch(_signed(shared, banded=False), "candidates")
 
 
-def _unlike(x: pa.Array, y: pa.Array, threshold: float) -> np.ndarray:
-    """Which rows of two columns of lines are less alike than the threshold.  Sets are counted by 32-bit hashes; where a few
-    collisions could matter the shingles themselves decide."""
-    keys = []
-    for side, column in enumerate((x, y)):
-        h, row, _ = shingles(*utf8(column))
-        keys.append(row.astype(np.uint64) << np.uint64(33) | h.astype(np.uint64) << np.uint64(1) | np.uint64(side))
-    keys = np.sort(np.concatenate(keys))
-    keys = keys[np.append(True, keys[1:] != keys[:-1])]  # a row, a hash, a side
-    rows, hashes = (keys >> np.uint64(33)).astype(np.int64), keys >> np.uint64(1)
-    both = np.bincount(rows, minlength=len(x))
-    shared = np.bincount(rows[1:][hashes[1:] == hashes[:-1]], minlength=len(x))
-    over = shared - threshold * (both - shared)
-    for i in np.flatnonzero(np.abs(over) < 2 + both / 1000):
-        s, t = (_set(c[i].as_py()) for c in (x, y))
-        over[i] = len(s & t) - threshold * len(s | t)
-    return over < 0
+def _shingles(lines: DataFrame) -> DataFrame:
+    """The columns of lines but norm, with g, the hash of a shingle: a row for each, repeats included."""
+    keys = [c for c in lines.columns if c != "norm"]
+    rows = lines.select(*keys, F.encode("norm", "UTF-32").alias("u")).withColumn("many", _windows(SHINGLE))
+    rows = rows.select(*keys, "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("i"))
+    return rows.select(*keys, F.expr(_window("i", SHINGLE)).alias("g"))
 
 
-def _set(line: str) -> set[str]:
-    return {line[i : i + SHINGLE] for i in range(max(1, len(line) - SHINGLE + 1))}
+def _of(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """texts (id, norm) of the ids alone."""
+    few = ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    return texts.join(ids.hint("broadcast" if few else "shuffle_hash"), "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of at least that Jaccard similarity; texts: id, norm."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = utf8(batch.column(2))
-            for a, b in slices(offsets, 1 << 18):
-                part = batch.slice(a, b - a)
-                keep = pa.array(~_unlike(part.column(2), part.column(3), threshold))
-                yield pa.RecordBatch.from_arrays([part.column(k).filter(keep) for k in range(2)], names=["a", "b"])
-
-    if pairs.count() <= BROADCAST_LINES:
-        texts = texts.join(F.broadcast(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "id", "left_semi")
-    side = lambda name, norm: texts.select(F.col("id").alias(name), F.col("norm").alias(norm))
-    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
-    return arrow_map(both, run, "a long, b long")
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = write_scratch(_of(ids, texts), "pair-lines")
+    side = lambda name, bit: pairs.join(texts, F.col(name) == F.col("id")).select("a", "b", F.lit(bit).alias("side"), "norm")
+    rows = _shingles(side("a", 1).union(side("b", 2)).repartition("a", "b"))
+    sets = rows.groupBy("a", "b", "g").agg(F.bit_or("side").alias("sides")).groupBy("a", "b").agg(F.count("*").alias("all"), F.count_if(F.col("sides") == 3).alias("shared"))
+    links = write_scratch(sets.where(F.col("shared") >= threshold * F.col("all")).select("a", "b"), "line-links")
+    drop_scratch(texts)
+    return links
 
 
 def _apart(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -232,44 +177,60 @@ def _apart(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFra
     return rows.select("band", "id", "c", F.pmod(F.xxhash64("id", "band"), F.col("m")).alias("u"), "many", *_BITMAP)
 
 
+def _cross(apart: DataFrame, texts: DataFrame, low: int, high: int | None, threshold: float) -> DataFrame:
+    """a, b: of the pairs of a round those that are alike, but for collisions of 32-bit hashes.  Of each line it is first asked
+    whether bitmaps leave it any other of its band; only such lines get their sets, and they are compared inside the join."""
+
+    def meet(x: str, y: str) -> Column:
+        return (F.col(f"{x}.band") == F.col(f"{y}.band")) & (F.col(f"{x}.c") != F.col(f"{y}.c")) & may_be_alike(x, y, _BITMAP, threshold)
+
+    # a pair belongs to the round of the lesser of its two in the order of the band
+    first = F.col("u").between(low, high - 1) if high else F.col("u") >= low
+    rows = apart.where(F.col("u") >= low)
+    ends = write_scratch(rows.alias("x").join(rows.where(first).alias("y"), meet("x", "y"), "left_semi"), "ends")
+    starts = write_scratch(rows.where(first).alias("x").join(ends.alias("y"), meet("x", "y"), "left_semi"), "starts")
+    lines = _of(ends.select("id").distinct(), texts).withColumnRenamed("id", "line")
+    sets = write_scratch(_shingles(lines).groupBy("line").agg(F.collect_set(F.hash("g")).alias("s")), "line-sets")
+    full = lambda rows: rows.join(sets, F.col("id") == F.col("line")).drop("line")
+    later = (F.col("y.u") > F.col("x.u")) | ((F.col("y.u") == F.col("x.u")) & (F.col("y.id") > F.col("x.id")))
+    # two shingles may share a hash, in long lines more may
+    slack = 2 + F.least(F.col("x.many"), F.col("y.many")) / 1000
+    both, shared = F.size("x.s") + F.size("y.s"), F.size(F.array_intersect("x.s", "y.s"))
+    alike = shared + slack >= threshold * (both - shared)
+    cross = full(starts).alias("x").join(full(ends).alias("y"), meet("x", "y") & later & alike)
+    cross = write_scratch(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
+    drop_scratch(ends, starts, sets)
+    return cross
+
+
 def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """docs: __doc, __text.  The distinct lines, and node, component for those that have links."""
     distinct = _distinct(_lines(docs))
     members = _members(distinct)
-    candidates = _candidates(distinct, members)
-    sketches, texts = candidates.select("id", "many", *_BITMAP), candidates.select("id", "norm")
+    sketches, texts = _candidates(distinct, members), distinct.select("id", "norm")
     pairs = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     x, y = sketches.alias("x"), sketches.alias("y")
     pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
     pairs = write_scratch(pairs.where(may_be_alike("x", "y", _BITMAP, threshold)).select("a", "b"), "pairs")
-    links = write_scratch(_verified(pairs, texts, threshold), "line-links")
+    links = _verified(pairs, texts, threshold)
     found = write_scratch(connected_components(links), "line-components")
-    drop_scratch(links)
+    drop_scratch(links, pairs)
 
-    tested, low = [pairs], 0
+    low = 0
     for high in (*ROUNDS, None):
         apart = write_scratch(_apart(members, found, sketches), "lines-apart")
-        # a pair belongs to the round of the lesser of its two in the order of the band
-        x = apart.where(F.col("u").between(low, high - 1) if high else F.col("u") >= low).alias("x")
-        y = apart.alias("y")
-        later = (F.col("y.u") > F.col("x.u")) | ((F.col("y.u") == F.col("x.u")) & (F.col("y.id") > F.col("x.id")))
-        cross = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.c") != F.col("y.c")) & later & may_be_alike("x", "y", _BITMAP, threshold))
-        cross = cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        for t in tested:
-            cross = cross.join(t, ["a", "b"], "left_anti")
-        cross = write_scratch(cross, "pairs")
-        tested.append(cross)
+        cross = _cross(apart, texts, low, high, threshold)
         low = high
         drop_scratch(apart)
-        if not cross.limit(1).count():
-            continue
-        more = write_scratch(_verified(cross, texts, threshold), "line-links")
-        if more.limit(1).count():
-            now = write_scratch(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "line-components")
-            drop_scratch(found)
-            found = now
-        drop_scratch(more)
-    drop_scratch(members, candidates, *tested)
+        if cross.limit(1).count():
+            more = _verified(cross, texts, threshold)
+            if more.limit(1).count():
+                now = write_scratch(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "line-components")
+                drop_scratch(found)
+                found = now
+            drop_scratch(more)
+        drop_scratch(cross)
+    drop_scratch(members, sketches)
     return distinct, found
 
 
@@ -288,7 +249,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 
     names = [c for c in docs.columns if c not in ("__n_lines", "__n_removed")]
     row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
-    out = docs.select(row, F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th")).join(gone, ["doc", "th"], "left")
+    out = docs.select(row, F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th")).join(gone.hint("shuffle_hash"), ["doc", "th"], "left")
     out = out.select("row", "gone", F.split(F.col("row")[text_col], "\n").alias("lines"))
     # what stands between removed lines, in one pass over them
     out = out.withColumn("edges", F.concat(F.array(F.lit(-1)), "gone", F.array(F.size("lines"))))
