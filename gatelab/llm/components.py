@@ -47,6 +47,7 @@ def connected_components(links: DataFrame) -> DataFrame:
 def may_be_alike(x: str, y: str, bitmap: list[str], threshold: float) -> Column:
     """False only where two sets are surely less alike than the threshold (Jaccard).  x and y name rows with longs of a bitmap, a
     bit for each element by its hash, and `many`, no less than the size of the set.  A bit that differs stands for at least
-    one element that isn't shared, and no more are shared than the smaller set has."""
+    one element that isn't shared, no more are shared than the smaller set has, and of all elements of two alike sets few aren't."""
     differ = reduce(add, [F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in bitmap])
-    return threshold * differ <= (1 - threshold) * F.least(F.col(f"{x}.many"), F.col(f"{y}.many")) + 1e-6
+    least, both = F.least(F.col(f"{x}.many"), F.col(f"{y}.many")), F.col(f"{x}.many") + F.col(f"{y}.many")
+    return differ <= F.least((1 - threshold) / threshold * least, (1 - threshold) / (1 + threshold) * both) + 1e-6

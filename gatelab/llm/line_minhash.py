@@ -15,13 +15,14 @@ that differ and the number of shingles follows, for sure, that many pairs of a b
 similar enough; those are left out where bands are joined, and no similar pair is.
 
 What is left is verified: Jaccard similarity of the sets of all 5-character
-shingles, by 64-bit hashes.  In a band each line is first verified against the band's
+shingles (of very long lines, by 64-bit hashes).  In a band each line is first verified against the band's
 most frequent line.  After union-find over the links, lines of one band and different
 components are compared in rounds: in each, a few more lines of every band meet the lines
-of other components, and links found spare the rounds that follow.  So every pair of a
+of other components, and links found spare the rounds that follow.  Where the bands that are left are small (CROWDED), the last
+round, of all lines, comes at once.  So every pair of a
 band is either compared or already connected.  Rounds compare inside the join, by sets of 32-bit hashes with room for
-collisions, so only pairs that are alike become rows; the comparisons themselves still grow with the
-square of the lines of a band that stay unconnected.
+collisions, and a pair in the first band alone that it shares, so only pairs that are alike become rows, once each; the comparisons
+themselves still grow with the square of the lines of a band that stay unconnected.
 
 One line of each component stays, the first; the others are removed from their
 documents.  Blank lines stay.  Documents without a text keep their null, empty texts stay
@@ -53,6 +54,12 @@ BITS = 16  # longs of a bitmap
 #: Lines of a band that meet the others in each round after the first, as expected; the last round takes all that are left.
 ROUNDS = (16,)
 
+#: Rounds before the last are left out while a line's band has no more lines of several components than this, on average.
+CROWDED = 32
+
+#: Sets of longer lines are compared in rows of shingles instead of arrays.
+LONG = 200_000
+
 #: The lines of candidate pairs are looked up by a broadcast up to this many lines, else by a shuffle.
 BROADCAST_LINES = 500_000
 
@@ -130,16 +137,19 @@ def _members(distinct: DataFrame) -> DataFrame:
     # count and id in one number, for a grouped maximum of fixed width
     order = F.shiftleft(F.least("n", F.lit(255)), 55) - F.col("id")
     hubs = write_scratch(rows.groupBy("band").agg(F.max(order).alias("top"), F.count("*").alias("m")).where("m > 1"), "hubs")
-    members = rows.join(hubs.hint("merge"), "band").select("band", "id", F.pmod(-F.col("top"), F.lit(1 << 55)).alias("hub"), "m")
+    members = rows.join(hubs.hint("shuffle_hash"), "band").select("band", "id", F.pmod(-F.col("top"), F.lit(1 << 55)).alias("hub"), "m")
     members = write_scratch(members, "band-members")
     drop_scratch(signed, hubs)
     return members
 
 
-def _candidates(distinct: DataFrame, members: DataFrame) -> DataFrame:
-    """id, many and the bitmap of the lines that share a band with another: nothing else is looked at again."""
-    shared = distinct.select("id", "norm").join(members.select("id").distinct().hint("shuffle_hash"), "id", "left_semi")
-    return write_scratch(_signed(shared, banded=False), "candidates")
+def _candidates(distinct: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the lines that share a band with another, as nothing else is looked at again: id, many, the bitmap and shared (their bands of
+    two or more lines); id and norm."""
+    shared = members.groupBy("id").agg(F.collect_list("band").alias("shared"))
+    lines = write_scratch(distinct.select("id", "norm").join(shared.hint("shuffle_hash"), "id"), "candidate-lines")
+    signed = _signed(lines.select("id", "norm"), banded=False)
+    return write_scratch(signed.join(lines.select("id", "shared").hint("shuffle_hash"), "id"), "candidates"), lines
 
 
 def _shingles(lines: DataFrame) -> DataFrame:
@@ -150,6 +160,13 @@ def _shingles(lines: DataFrame) -> DataFrame:
     return rows.select(*keys, F.expr(_window("i", SHINGLE)).alias("g"))
 
 
+def _set(line: str) -> Column:
+    """A line's shingles, repeats included, as an array; a line of fewer characters is its own only shingle.  No match begins inside a
+    character of two UTF-16 units."""
+    every = F.regexp_extract_all(line, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))(?![\x{{DC00}}-\x{{DFFF}}])"), F.lit(1))
+    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
+
+
 def _of(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """texts (id, norm) of the ids alone."""
     few = ids.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
@@ -158,23 +175,35 @@ def _of(ids: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) of at least that Jaccard similarity; texts: id, norm."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = write_scratch(_of(ids, texts), "pair-lines")
+    side = lambda name: texts.select(F.col("id").alias(name), F.col("norm").alias(f"l{name}"))
+    both = pairs.hint("merge").join(side("a"), "a").hint("merge").join(side("b"), "b")
+    both = both.withColumn("big", F.greatest(F.length("la"), F.length("lb")) > LONG)
+    # sets are columns before they are compared, and the comparison is a generator, or each use would make them anew
+    none = F.array().cast("array<string>")
+    rows = both.select("a", "b", "big", *[F.when(F.col("big"), none).otherwise(_set(f"l{x}")).alias(f"s{x}") for x in "ab"])
+    counts = F.struct(F.size(F.array_union("sa", "sb")).alias("all"), F.size(F.array_intersect("sa", "sb")).alias("shared"))
+    rows = rows.select("a", "b", "big", F.inline(F.array(counts)))
+    links = write_scratch(rows.where(F.col("big") | (F.col("shared") >= threshold * F.col("all"))).select("a", "b", "big"), "line-links")
+    if not links.where("big").limit(1).count():
+        return links
+    pairs = links.where("big").select("a", "b")
     side = lambda name, bit: pairs.join(texts, F.col(name) == F.col("id")).select("a", "b", F.lit(bit).alias("side"), "norm")
     rows = _shingles(side("a", 1).union(side("b", 2)).repartition("a", "b"))
     sets = rows.groupBy("a", "b", "g").agg(F.bit_or("side").alias("sides")).groupBy("a", "b").agg(F.count("*").alias("all"), F.count_if(F.col("sides") == 3).alias("shared"))
-    links = write_scratch(sets.where(F.col("shared") >= threshold * F.col("all")).select("a", "b"), "line-links")
-    drop_scratch(texts)
-    return links
+    sets = sets.where(F.col("shared") >= threshold * F.col("all"))
+    out = write_scratch(links.where("not big").select("a", "b").union(sets.select("a", "b")), "line-links")
+    drop_scratch(links)
+    return out
 
 
 def _apart(members: DataFrame, found: DataFrame, sketches: DataFrame) -> DataFrame:
-    """band, id, c, u, sketch: the lines of bands that hold several components; u orders them, evenly from 0 to the size of the band."""
+    """band, id, c, left, u, shared, sketch: the lines of bands that hold several components, with how many of them the band has; u orders
+    them, evenly from 0 to the size of the band."""
     rows = members.join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     rows = rows.select("band", "id", "m", F.coalesce("component", "id").alias("c"))
-    several = rows.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    rows = rows.join(several, "band", "left_semi").join(sketches, "id")
-    return rows.select("band", "id", "c", F.pmod(F.xxhash64("id", "band"), F.col("m")).alias("u"), "many", *_BITMAP)
+    several = rows.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("left")).where("low < high").select("band", "left")
+    rows = rows.join(several.hint("shuffle_hash"), "band").join(sketches, "id")
+    return rows.select("band", "id", "c", "left", F.pmod(F.xxhash64("id", "band"), F.col("m")).alias("u"), "shared", "many", *_BITMAP)
 
 
 def _cross(apart: DataFrame, texts: DataFrame, low: int, high: int | None, threshold: float) -> DataFrame:
@@ -182,24 +211,27 @@ def _cross(apart: DataFrame, texts: DataFrame, low: int, high: int | None, thres
     whether bitmaps leave it any other of its band; only such lines get their sets, and they are compared inside the join."""
 
     def meet(x: str, y: str) -> Column:
-        return (F.col(f"{x}.band") == F.col(f"{y}.band")) & (F.col(f"{x}.c") != F.col(f"{y}.c")) & may_be_alike(x, y, _BITMAP, threshold)
+        # of the bands that a pair shares, the least has it
+        here = F.col(f"{x}.band") == F.array_min(F.array_intersect(f"{x}.shared", f"{y}.shared"))
+        return (F.col(f"{x}.band") == F.col(f"{y}.band")) & (F.col(f"{x}.c") != F.col(f"{y}.c")) & may_be_alike(x, y, _BITMAP, threshold) & here
 
     # a pair belongs to the round of the lesser of its two in the order of the band
     first = F.col("u").between(low, high - 1) if high else F.col("u") >= low
     rows = apart.where(F.col("u") >= low)
     ends = write_scratch(rows.alias("x").join(rows.where(first).alias("y"), meet("x", "y"), "left_semi"), "ends")
-    starts = write_scratch(rows.where(first).alias("x").join(ends.alias("y"), meet("x", "y"), "left_semi"), "starts")
-    lines = _of(ends.select("id").distinct(), texts).withColumnRenamed("id", "line")
-    sets = write_scratch(_shingles(lines).groupBy("line").agg(F.collect_set(F.hash("g")).alias("s")), "line-sets")
-    full = lambda rows: rows.join(sets, F.col("id") == F.col("line")).drop("line")
+    starts = ends  # in the last round all are
+    if high:
+        starts = write_scratch(rows.where(first).alias("x").join(ends.alias("y"), meet("x", "y"), "left_semi"), "starts")
+    sets = _of(starts.select("id").union(ends.select("id")).distinct(), texts).select(F.col("id").alias("line"), F.transform(F.array_distinct(_set("norm")), lambda g: F.hash(g)).alias("s"))
+    full = lambda rows: rows.join(sets.hint("shuffle_hash"), F.col("id") == F.col("line")).drop("line")
     later = (F.col("y.u") > F.col("x.u")) | ((F.col("y.u") == F.col("x.u")) & (F.col("y.id") > F.col("x.id")))
     # two shingles may share a hash, in long lines more may
     slack = 2 + F.least(F.col("x.many"), F.col("y.many")) / 1000
     both, shared = F.size("x.s") + F.size("y.s"), F.size(F.array_intersect("x.s", "y.s"))
     alike = shared + slack >= threshold * (both - shared)
-    cross = full(starts).alias("x").join(full(ends).alias("y"), meet("x", "y") & later & alike)
-    cross = write_scratch(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "pairs")
-    drop_scratch(ends, starts, sets)
+    cross = full(starts).alias("x").join(full(ends).alias("y"), later & meet("x", "y") & alike)
+    cross = write_scratch(cross.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")), "pairs")
+    drop_scratch(*{id(t): t for t in (starts, ends)}.values())
     return cross
 
 
@@ -207,7 +239,7 @@ def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     """docs: __doc, __text.  The distinct lines, and node, component for those that have links."""
     distinct = _distinct(_lines(docs))
     members = _members(distinct)
-    sketches, texts = _candidates(distinct, members), distinct.select("id", "norm")
+    sketches, texts = _candidates(distinct, members)
     pairs = members.where("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
     x, y = sketches.alias("x"), sketches.alias("y")
     pairs = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
@@ -216,21 +248,28 @@ def line_components(docs: DataFrame, threshold: float = 0.8) -> tuple[DataFrame,
     found = write_scratch(connected_components(links), "line-components")
     drop_scratch(links, pairs)
 
+    rounds = [*ROUNDS, None]
     low = 0
-    for high in (*ROUNDS, None):
+    while rounds:
         apart = write_scratch(_apart(members, found, sketches), "lines-apart")
+        size = apart.agg(F.avg("left")).first()[0]
+        if size is None:
+            break
+        if size <= CROWDED:
+            rounds = [None]
+        high = rounds.pop(0)
         cross = _cross(apart, texts, low, high, threshold)
         low = high
         drop_scratch(apart)
         if cross.limit(1).count():
             more = _verified(cross, texts, threshold)
             if more.limit(1).count():
-                now = write_scratch(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "line-components")
+                now = write_scratch(connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more.select("a", "b"))), "line-components")
                 drop_scratch(found)
                 found = now
             drop_scratch(more)
         drop_scratch(cross)
-    drop_scratch(members, sketches)
+    drop_scratch(members, sketches, texts)
     return distinct, found
 
 

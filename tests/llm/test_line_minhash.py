@@ -235,3 +235,35 @@ def test_pairs_a_little_below_the_threshold_are_no_rows(spark, monkeypatch):
     assert sum(removed(spark, list(enumerate(lines))).values()) == 0
     assert len(lines) > 20 and sum(like) > 0.7 * len(like)
     assert sum(verified[1:]) < len(lines)
+
+
+def test_sets_of_very_long_lines_and_of_any_characters(spark, docs, monkeypatch):
+    """Arrays and rows of shingles verify alike, and an array holds whole characters."""
+    lines = ["", "a", "abcd", "abcde", "\r\tab\u2028cd é世", "😀😀x😀😀😀y😀 z", "ababababab"]
+    got = spark.createDataFrame(list(enumerate(lines)), "id int, norm string").select("id", line_minhash._set("norm").alias("s")).collect()
+    assert {r.id: set(r.s) for r in got} == {i: shingles(x) for i, x in enumerate(lines)}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted(((r.doc_id, r.text) for r in line_minhash.dedup_lines(df).collect()), key=str)
+    monkeypatch.setattr(line_minhash, "LONG", 60)
+    assert sorted(((r.doc_id, r.text) for r in line_minhash.dedup_lines(df).collect()), key=str) == one
+
+
+def test_small_bands_meet_in_one_round(spark, docs, monkeypatch):
+    rounds, whole = [], line_minhash._cross
+    monkeypatch.setattr(line_minhash, "_cross", lambda *a: (rounds.append(a[2:4]), whole(*a))[1])
+    line_minhash.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rounds in ([], [(0, None)])
+
+
+def test_a_pair_of_several_bands_is_one_row(spark, monkeypatch):
+    """Pairs that rounds find share many bands: they are rows once."""
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghilmnoprstu", k=6))
+    lines, whole = [], line_minhash._verified
+    for _ in range(20):
+        base = [word() for _ in range(30)]
+        lines += [" ".join(base[:k] + [word()] + base[k + 1 :]) for k in (1, 8, 15, 22)]
+    rows = []
+    monkeypatch.setattr(line_minhash, "_verified", lambda pairs, *a: (rows.append([(r.a, r.b) for r in pairs.collect()]), whole(pairs, *a))[1])
+    assert sum(removed(spark, list(enumerate(lines))).values()) == 60
+    assert all(len(r) == len(set(r)) for r in rows)
