@@ -67,3 +67,25 @@ def test_bounds_hold_and_prune():
     assert (bound >= s).all()
     best = np.sort(s, axis=1)[:, -5]
     assert (bound < best[:, None]).mean() > 0.3
+
+
+def test_nothing_is_broadcast_and_cells_agree(spark, rows, monkeypatch):
+    """Small files of queries, exploded to all blocks, were broadcast through the driver."""
+    monkeypatch.setattr(pivots, "SAMPLE", 50)
+    monkeypatch.setattr(pivots, "LEAST", 2**10, raising=False)
+    monkeypatch.setattr(pivots, "HELD", 2**14, raising=False)
+    df = spark.createDataFrame([(i, v) for i, v in rows], "vec_id long, embedding array<float>")
+    found = pivots.top_k(df, F.pmod("vec_id", F.lit(20)) == 0)
+    assert sorted(map(tuple, found.collect())) == brute(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
+def test_grid_sends_no_more_than_its_cells_need():
+    for n in (2_000, 50_000, 600_000, 24_000_000):
+        down, across = pivots.grid(n // 20, n, 350, 20, 200)
+        assert n * 350 / across <= pivots.HELD
+        assert n * n / 20 / (down * across) <= 2 * pivots.MOST
+    one, six = (pivots.grid(n // 20, n, 350, 20, 200) for n in (100_000, 600_000))
+    assert max(six) <= 2 * max(one)  # copies of a row: 25 blocks and 147 before
+    assert pivots.grid(0, 5, 64, 20, 8) == (1, 1)
